@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -45,7 +46,10 @@ def hot_keys(df: DataFrame, key: str, aggs: list[Column] = (), least: int = 50_0
         .limit(most)
         .collect()
     )
-    total = seen.get.get("total") or 0
+    try:
+        total = seen.get.get("total") or 0
+    except Py4JJavaError:  # the plan of an empty table has no place to observe
+        total = 0
     limit = hot_limit(df.sparkSession, total, least, per_task)
     rows = [r for r in top if r["_n"] > limit]
     return HotKeys(total, limit, {r[key]: r["_n"] for r in rows}, rows)

@@ -7,7 +7,7 @@ from abc import ABC, abstractmethod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.skew import hot_keys, salted_lookup
+from weftgraph.operators.skew import HotKeys, hot_keys, salted_lookup
 from weftgraph.plans.traversal import symmetric
 from weftgraph.session import materialize
 
@@ -95,37 +95,40 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 3, num_ver
     return state.select("id", "rank")
 
 
+def _hot(df: DataFrame, key: str, rows: int, least: int) -> HotKeys:
+    """Hot keys of a stored table; a table of no more rows than the limit has none."""
+    return hot_keys(df.select(key), key, least=least) if rows > least else HotKeys()
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, least: int = 50_000) -> DataFrame:
     """(id, component): the least id of each weakly connected component; a vertex without edges keeps its own.
 
-    Labels spread to neighbours and then jump to their label's label, so long
-    chains take a logarithmic number of rounds. The pairs shrink as labels merge:
-    after a round they connect labels and not vertices.
+    Each vertex hooks to its least neighbour, and the hooks jump to their hook's
+    hook a few times; then the edges connect hooks and not vertices, so the graph
+    shrinks by a large factor a round. A null end makes no edge.
     """
     pairs = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v and u is not null and v is not null")
     pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     maps: list[DataFrame] = []
-    while not pairs.isEmpty():
+    while n := pairs.count():
         both = symmetric(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
         parent = materialize(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("src"), F.min("dst")).alias("up")), "parent")
         for _ in range(3):
             high = parent.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            parent = materialize(salted_lookup(parent, high, "up", hot_keys(parent.select("up"), "up", least=least), ["id"]).select("id", F.col("top").alias("up")), "parent")
+            parent = materialize(salted_lookup(parent, high, "up", _hot(parent, "up", 2 * n, least), ["id"]).select("id", F.col("top").alias("up")), "parent")
         maps.append(parent)
-        hot_u = hot_keys(pairs.select("u"), "u", least=least)
-        one = salted_lookup(pairs, parent.select(F.col("id").alias("u"), F.col("up").alias("a")), "u", hot_u, ["v"]).select("a", "v")
-        hot_v = hot_keys(one.select("v"), "v", least=least)
-        two = salted_lookup(one, parent.select(F.col("id").alias("v"), F.col("up").alias("b")), "v", hot_v, ["a"]).filter("a <> b")
+        one = salted_lookup(pairs, parent.select(F.col("id").alias("u"), F.col("up").alias("a")), "u", _hot(pairs, "u", n, least), ["v"]).select("a", "v")
+        two = salted_lookup(one, parent.select(F.col("id").alias("v"), F.col("up").alias("b")), "v", _hot(pairs, "v", n, least), ["a"]).filter("a <> b")
         pairs = materialize(two.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
-    label = vertices.select("id", F.col("id").alias("component")).distinct()
+    label = materialize(vertices.select("id", F.col("id").alias("component")).distinct(), "labels")
     for parent in maps:
         up = parent.select(F.col("id").alias("component"), F.col("up").alias("_up"))
-        hot = hot_keys(label.select("component"), "component", least=least)
+        hot = _hot(label, "component", label.count(), least)
         label = salted_lookup(label, up, "component", hot, ["id"], "left").select("id", F.coalesce("_up", "component").alias("component"))
         label = materialize(label, "labels")
     # a label is the root of its tree, not always the least id of the component
     least_id = label.groupBy("component").agg(F.min("id").alias("_least"))
-    hot = hot_keys(label.select("component"), "component", least=least)
+    hot = _hot(label, "component", label.count(), least)
     return salted_lookup(label, least_id, "component", hot, ["id"]).select("id", F.col("_least").alias("component"))
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import zipfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,11 +77,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop_scratch(df_path: str, spark: SparkSession) -> None:
-    """Delete a scratch table that no later read needs."""
-    _remove(spark, df_path)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -99,6 +94,12 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer splits than there are cores, as small files do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(df: DataFrame, name: str):
     """Microseconds since 1970 of a timestamp column, free of the session's zone for NTZ columns."""
     kind = dict(df.dtypes)[name]

@@ -41,7 +41,8 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """(id, year, title) of ``id,year,title`` lines in ISO-8859-1; a year of NULL is 0; titles keep their commas."""
     part = F.split("value", ",", 3)
-    rows = spark.read.option("encoding", "ISO-8859-1").text(path).select(part.alias("t")).filter(F.size("t") == 3)
+    lines = spark.read.schema("value string").csv(path, encoding="ISO-8859-1", sep="\x01", quote="", escape="")
+    rows = lines.select(part.alias("t")).filter(F.size("t") == 3)
     year = F.when(F.get("t", F.lit(1)) == "NULL", 0).otherwise(F.expr("try_cast(get(t, 1) as smallint)"))
     return rows.select(F.expr("try_cast(get(t, 0) as bigint)").alias("id"), year.cast("smallint").alias("year"), F.get("t", F.lit(2)).alias("title")).filter("id is not null")
 

@@ -1,8 +1,10 @@
 """A stored graph: append-only edge segments, tombstones and compaction on Parquet.
 
-``segments/segment=k`` holds edges in buckets of dst, sorted by src within files,
-so both directions prune. ``changes`` holds tombstones and updates by ``edge_id``
-with the number of the commit. Readers see what was committed when they started.
+``segments`` holds one folder per commit, with edges in buckets of dst, sorted by
+src within files, so both directions prune. ``changes`` holds tombstones and
+updates by ``edge_id`` with the number of the commit. A folder counts once it is
+complete; compaction puts one segment in place of all before it, which a marker
+file makes effective in one step. Readers see what was committed when they started.
 """
 
 from __future__ import annotations
@@ -51,8 +53,19 @@ class GraphStore:
         root = path(f"{self.path}/{part}")
         if not fs.exists(root):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n for n in names if n.startswith("c") and fs.exists(path(f"{self.path}/{part}/{n}/_SUCCESS")))
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root))
+        done = [n for n in names if n.startswith("c") and fs.exists(path(f"{self.path}/{part}/{n}/_SUCCESS"))]
+        if part == "vertices":
+            return done
+        base = self._base()
+        # a compacted segment counts only once it is the base, and then stands for all commits before it
+        return [n for n in done if n[:11] >= base[:11] and (n == base or not n.endswith("-base"))]
+
+    def _base(self) -> str:
+        """The newest compacted segment that took effect, "" if there is none."""
+        fs, path = self._fs()
+        root = path(f"{self.path}/bases")
+        return max((s.getPath().getName() for s in fs.listStatus(root)), default="") if fs.exists(root) else ""
 
     def _next(self) -> str:
         last = max((int(n[1:11]) for p in ("segments", "changes", "vertices") for n in self._commits(p)), default=0)
@@ -157,11 +170,12 @@ class GraphStore:
         if not old:
             return False
         live = self.edges()
-        name = self._next()
+        name = f"{self._next()}-base"
         rows = live.withColumn("dst_bucket", F.pmod(F.call_function("div", F.col("dst"), F.lit(self.interval)), F.lit(self.buckets)).cast("int"))
-        rows.repartition(self.buckets, "dst_bucket").sortWithinPartitions("dst_bucket", "src", "dst").write.parquet(f"{self.path}/compacting/{name}")
+        rows.repartition(self.buckets, "dst_bucket").sortWithinPartitions("dst_bucket", "src", "dst").write.parquet(f"{self.path}/segments/{name}")
         fs, path = self._fs()
+        fs.mkdirs(path(f"{self.path}/bases"))
+        fs.create(path(f"{self.path}/bases/{name}"), False).close()
         for part, commit in old:
             fs.delete(path(f"{self.path}/{part}/{commit}"), True)
-        fs.rename(path(f"{self.path}/compacting/{name}"), path(f"{self.path}/segments/{name}"))
         return True
