@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import ship_package
+from weftgraph.session import ship_package, spread
 
 #: Consecutive words, or characters in scripts without spaces, that make a leak.
 WORD_WINDOW, CHAR_WINDOW = 12, 40
@@ -214,7 +214,7 @@ def leaked_items(
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null and k is not null")
+    rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null and k is not null"))
     out = None
     for block in item_blocks(items, item, lang, passage):
         kinds = [

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import ship_package
+from weftgraph.session import ship_package, spread
 
 #: Where the public vocabulary file lies on every machine; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -191,5 +191,5 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")))
     return rows.mapInArrow(run, f"`{key}` bigint, ids array<int>")
