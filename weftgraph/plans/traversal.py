@@ -1,7 +1,7 @@
 """Level-synchronous traversals: breadth-first trees, shortest paths, many searches at once.
 
-Each round joins the frontier with the edges and removes what was visited. The
-round's new rows are written to the shared scratch folder, so the plan of a round
+The two columns of the edges that a search needs are written once. Each round
+joins the frontier with them and removes what was visited. The round's new rows are written to the shared scratch folder, so the plan of a round
 does not grow with the depth. Driver state is the number of rows per round.
 """
 
@@ -32,7 +32,7 @@ def bfs(edges: DataFrame, start: int, etype: int | None = None, max_depth: int |
     self-loops are harmless. With ``until`` the search stops on the level that
     reaches it.
     """
-    links = _of_type(edges, etype)
+    links = materialize(_of_type(edges, etype), "links")
     spark = edges.sparkSession
     level = 0
     frontier = spark.createDataFrame([(start, 0, start)], "id bigint, level int, parent bigint")
@@ -80,7 +80,7 @@ def multi_bfs(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
 
     Keyed by (seed, vertex), so any number of searches share each round's join.
     """
-    links = symmetric(edges).distinct()
+    links = materialize(symmetric(edges).distinct(), "links")
     frontier = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("level", F.lit(0))
     found = [frontier]
     for level in range(1, rounds + 1):
