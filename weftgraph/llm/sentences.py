@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import ship_package
+from weftgraph.session import materialize, ship_package, spread
 
 # Abbreviations after which a sentence goes on, those that may also end one, and verbs of speech.
 INNER = frozenset(
-    "dr dra mr mrs ms prof st no nos fig figs tab vol ed eds sect rev approx vs e.g i.e a.k.a mk cf pp ca viz "
+    "art arts ee dr dra mr mrs ms prof st no nos fig figs tab vol ed eds sect rev approx vs e.g i.e a.k.a mk cf pp ca viz "
     "vgl abb bzw nr str z z.b d.h ggf inkl evtl sog "
     "m mme mlle pr p ex éd av env chap sr sra srta ej núm pág "
     "проф ул им п рис см стр напр т е гр ср тел डॉ पृ श्री د ص أ".split()
@@ -56,7 +56,7 @@ _LINE = regex.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _QUOTE_MARKS = regex.compile(r"[ \t]*(?:>[ \t]?)+")
 _SIGNATURE = regex.compile(r"\s*[-_~]{2,}\s*")
 _BULLET = regex.compile(r"[ \t]*(?:[-*•‣·–][ \t]+|(\d{1,3})[.)][ \t]+|[a-z]\)[ \t]+)(?=\S)")
-_THAI_SPACE = regex.compile(r"(?<=[\p{Thai}\p{P}])[ \u00A0\u3000]+(?=[\p{Thai}“\"(])")
+_THAI_SPACE = regex.compile(rf"(?<=[\p{{Thai}}\p{{P}}])(?P<face>(?:[ \u00A0\u3000]*(?:{_EMOJI.pattern}))*)(?P<gap>[ \u00A0\u3000]+)(?=[\p{{Thai}}“\"(])")
 _CODE_OPEN, _CODE_CLOSE = regex.compile(r"\[code\]", regex.I), regex.compile(r"\[/code\]", regex.I)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}\u00AD\u200B-\u200D\u2060]+")
 _WORDS = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}](?:[\p{L}\p{M}]|\.(?=[\p{L}]\.)|\.(?=[\p{L}][^\p{L}]))*")
@@ -119,7 +119,7 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
                 [pa.array(words, pa.string()), *(pa.array([total[w, k] for w in words], pa.int64()) for k in KINDS)], names=["word", *KINDS]
             )
 
-    rows = docs.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "word string, " + ", ".join(f"{k} bigint" for k in KINDS))
+    rows = spread(docs.select(F.col(text).alias("t")).filter("t is not null")).mapInArrow(run, "word string, " + ", ".join(f"{k} bigint" for k in KINDS))
     return rows.groupBy("word").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
@@ -326,7 +326,7 @@ class Splitter:
                 cuts.append(cut)
                 closed_to = start = cut
         if _NO_CASE.search(s) and regex.search(r"\p{Thai}", s):
-            cuts += [m.start() for m in _THAI_SPACE.finditer(s) if not self._hidden(hidden, m.start()) and self._thai_cut(s, m)]
+            cuts += [m.start("gap") for m in _THAI_SPACE.finditer(s) if not self._hidden(hidden, m.start()) and self._thai_cut(s, m)]
         start = 0
         for cut in [*sorted(set(cuts)), len(s)]:
             piece = s[start:cut]
@@ -370,9 +370,7 @@ class Splitter:
         lead = rest.lstrip()[:1]
         if lead in ",;،" or (lead in "—–" and (quoted or not following.isupper())):
             return None
-        if bracket_inside and not following.isupper() and not _NO_CASE.match(following):
-            return None
-        if bracket_inside and quoted is False and _NO_CASE.match(following) and opened_inside:
+        if bracket_inside and (not following.isupper() or self._shouted(s[start:k], rest)):
             return None
         if quoted and self._speaker(s, start, rest, opened_inside, following):
             return None
@@ -390,6 +388,12 @@ class Splitter:
                 return None
         return k
 
+    @staticmethod
+    def _shouted(before: str, rest: str) -> bool:
+        """Whether the text is in capitals, so that they say nothing about its sentences."""
+        word = _NEXT_WORD.search(rest)
+        return bool(word) and len(word.group()) > 1 and word.group().isupper() and not any(c.islower() for c in before)
+
     @staticmethod
     def _first(rest: str) -> str:
         """The first letter or digit ahead, past openers, tags and spaces; another sign if that comes first."""
@@ -439,7 +443,7 @@ class Splitter:
         k, quoted, inside, bracket = j, False, False, False
         while k < len(s):
             at = k
-            while at < len(s) and s[at] in " \t\u00A0\u2009\u202F\n":
+            while at < len(s) and s[at] in " \t\u00A0\u2009\u202F\u3000\n":
                 at += 1
             spaced = at > k
             if at >= len(s):
@@ -499,9 +503,8 @@ class Splitter:
         words = rest.lstrip()
         if words[:1] in "—–" or words[:1] == ",":
             return True
-        if inside:
-            first = _NEXT_WORD.match(words)
-            return bool(first) and following.islower() and plain(first.group()) not in SPEECH and "\n" not in rest[: len(rest) - len(words)] and words[0].islower() and False
+        if inside:  # the speaker came first
+            return False
         if words.startswith(("と", "って")):
             return True
         first = _NEXT_WORD.match(words)
@@ -569,7 +572,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     spark = docs.sparkSession
     ship_package(spark)
-    known = spark.sparkContext.broadcast(abbreviations(corpus_counts(docs, text)))
+    known = spark.sparkContext.broadcast(abbreviations(materialize(corpus_counts(docs, text), "word_counts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -581,5 +584,5 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 ends += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends, pa.int64())], names=[key, "end_pos"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null")
+    rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null"))
     return rows.mapInArrow(run, f"`{key}` bigint, end_pos bigint")
