@@ -37,6 +37,7 @@ SPEECH = frozenset(
     "gritó preguntó dijo respondió criait demandait disait cria demanda dit крикнул спросил сказал ответил "
     "صاح سأل قال هتف".split()
 )
+VOWELS = "aeiouyäöüàáâéèêíîóôúûаеёиоуыэюя"
 _SPEECH_LATER = regex.compile(r"चिल्लाया|पूछा|कहा|बोला|喊道|问道|说道|叫道|答道|ตะโกน|ถามว่า|กล่าว")
 _INSIDE_NAME = frozenset({"shop", "laden", "store", "boutique", "tienda"})
 _ORDINAL_BEFORE = frozenset({"am", "der", "im", "zum", "vom", "den", "dem", "das", "die", "ab", "bis", "seit", "zur"})
@@ -59,7 +60,17 @@ _BULLET = regex.compile(r"[ \t]*(?:[-*•‣·–][ \t]+|(\d{1,3})[.)][ \t]+|[a-
 _THAI_SPACE = regex.compile(rf"(?<=[\p{{Thai}}\p{{P}}])(?P<face>(?:[ \u00A0\u3000]*(?:{_EMOJI.pattern}))*)(?P<gap>[ \u00A0\u3000]+)(?=[\p{{Thai}}“\"(])")
 _CODE_OPEN, _CODE_CLOSE = regex.compile(r"\[code\]", regex.I), regex.compile(r"\[/code\]", regex.I)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}\u00AD\u200B-\u200D\u2060]+")
-_WORDS = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}](?:[\p{L}\p{M}]|\.(?=[\p{L}]\.)|\.(?=[\p{L}][^\p{L}]))*")
+_ANY_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_BARE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]{1,8}(?![\p{L}\p{M}.])")
+_STOPPED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}\p{M}]\.)*[\p{L}\p{M}]+(?=\.)")
+_VOWEL = regex.compile(f"[{VOWELS}]")
+_THAI = regex.compile(r"\p{Thai}")
+_WORD_AFTER = regex.compile(r"[\p{L}\p{M}\p{N}.\-/'’]+")
+_WORD_END = regex.compile(r"(?:\p{Ll}{3}|\d)$")
+_CLAUSE = regex.compile(r"[^。！？!?।….\n]{1,40}")
+_LAST_WORD = regex.compile(r"(\p{L}+)\s+$")
+_BEFORE_V = regex.compile(r"\be\.\s+$")
+_QUOTE_OPEN = regex.compile(r"\s*(?:\[quote|<blockquote)", regex.I)
 _NO_CASE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Arabic}\p{Devanagari}]")
 _OPENERS, _CLOSERS = "\"“„«‘「『(（[【¿¡", "\"”“’'»›)）]】」』"
 _PAIR = {")": "(", "）": "（", "]": "[", "】": "【", "”": "“„", "“": "„", "»": "«", "」": "「", "』": "『", "’": "‘"}
@@ -81,27 +92,22 @@ KINDS = ("bare", "goes_on", "common", "name")
 def occurrences(text: str) -> Counter:
     """(word, kind) counts of one document, for short words."""
     counts: Counter = Counter()
-    lower = set()
-    after: list[tuple[str, str]] = []
-    for m in _WORDS.finditer(text):
+    for raw, n in Counter(_BARE.findall(text)).items():
+        counts[plain(raw), "bare"] += n
+    words = None
+    for m in _STOPPED.finditer(text):
         raw, end = m.group(), m.end()
-        if raw.islower():
-            lower.add(raw)
-        if len(raw) > 8:
-            continue
-        if text[end : end + 1] != ".":
-            counts[plain(raw), "bare"] += 1
-            continue
         rest = text[end + 1 : end + 12].lstrip(" \r\n>\u00A0")
-        if not rest or text[end + 1 : end + 2] == ".":
+        if len(raw) > 8 or not rest or not (text[end + 1].isspace() or text[end + 1] in ",;:"):
             continue
         if rest[0].islower() or rest[0].isdigit() or rest[0] in ",;:":
             counts[plain(raw), "goes_on"] += 1
         elif rest[0].isupper():
+            if words is None:
+                words = set(_ANY_WORD.findall(text))
             follower = _NEXT_WORD.match(text, text.index(rest[0], end + 1))
-            after.append((plain(raw), follower.group().lower() if follower else ""))
-    for word, follower in after:
-        counts[word, "common" if follower in lower else "name"] += 1
+            common = follower is not None and follower.group().lower() in words
+            counts[plain(raw), "common" if common else "name"] += 1
     return counts
 
 
@@ -135,7 +141,7 @@ def abbreviations(counts: DataFrame, most: int = 50_000) -> dict[str, str]:
     stops = F.col("goes_on") + F.col("common") + F.col("name")
     total = counts.agg(F.sum(stops)).first()[0] or 0
     least = max(5, -(-total // most))
-    clipped = (F.length("word") <= 2) | ~F.col("word").rlike("[aeiouyäöüàáâéèêíîóôúûаеёиоуыэюя]")
+    clipped = (F.length("word") <= 2) | ~F.col("word").rlike(f"[{VOWELS}]")
     goes_on = F.col("goes_on") * 10 > stops * 3
     sure = counts.filter((stops >= least) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2)))
     return {r["word"]: "final" if r["common"] * 10 > r["common"] + r["name"] else "inner" for r in sure.collect()}
@@ -241,7 +247,7 @@ def layout(text: str) -> Iterator[tuple[str, Block]]:
             continue
         if bare.endswith((":", "：")) and i + 1 < len(lines):
             deeper, following, _ = lines[i + 1]
-            if deeper > level or regex.match(r"\s*(?:\[quote|<blockquote)", following, regex.I):
+            if deeper > level or _QUOTE_OPEN.match(following):
                 if block is not None:
                     yield "text", block
                 block = Block()
@@ -285,7 +291,7 @@ class Splitter:
         self.text, self.corpus = text, corpus
         self._own: Counter | None = None
 
-    def kind(self, word: str) -> str | None:
+    def kind(self, word: str, raw: str) -> str | None:
         """Of a word before a stop: ``inner``, ``final`` or no abbreviation."""
         if word in INNER:
             return "inner"
@@ -296,13 +302,16 @@ class Splitter:
             return "final"
         if len(word) > 8 or not letters.isalpha():
             return None
+        held = self.corpus.get(word)
+        if held is None and (len(word) > 2 and _VOWEL.search(word) or not 2 <= self.text.count(f"{raw}.") == self.text.count(raw)):
+            return None  # neither the corpus nor another place in the document can tell
         if self._own is None:
             self._own = occurrences(self.text)
         if self._own[word, "bare"]:
             return None
-        if word in self.corpus:
-            return self.corpus[word]
-        return None
+        if held is None and self._own[word, "goes_on"] >= 2:
+            return "final"
+        return held
 
     def ends(self, block: Block) -> Iterator[int]:
         s = block.text
@@ -325,7 +334,7 @@ class Splitter:
             if cut is not None:
                 cuts.append(cut)
                 closed_to = start = cut
-        if _NO_CASE.search(s) and regex.search(r"\p{Thai}", s):
+        if not s.isascii() and _THAI.search(s):
             cuts += [m.start("gap") for m in _THAI_SPACE.finditer(s) if not self._hidden(hidden, m.start()) and self._thai_cut(s, m)]
         start = 0
         for cut in [*sorted(set(cuts)), len(s)]:
@@ -346,7 +355,7 @@ class Splitter:
         if "ๆ" in (before, after) or before.isdigit() or after.isdigit() or before in "“\"(«,":
             return False
         near = s[max(0, m.start() - 3) : m.start()]
-        return bool(regex.search(r"\p{Thai}", near))
+        return bool(_THAI.search(near))
 
     def boundary(self, s: str, start: int, i: int, j: int) -> int | None:
         """Where the unit ends if the marks s[i:j] end one, else None."""
@@ -416,13 +425,13 @@ class Splitter:
         """Whether a stop with a letter right behind it stands between two sentences."""
         before = _WORD_BEFORE.search(s, max(0, i - 40), i)
         word = before.group() if before else ""
-        after = regex.match(r"[\p{L}\p{M}\p{N}.\-/'’]+", s[j : j + 40])
+        after = _WORD_AFTER.match(s, j, j + 40)
         nxt = s[j]
         if _NO_CASE.match(nxt):
-            return bool(word) and bool(_NO_CASE.match(word[-1])) and plain(word) not in FINAL and not regex.match(r"\p{Thai}", nxt)
+            return bool(word) and bool(_NO_CASE.match(word[-1])) and plain(word) not in FINAL and not _THAI.match(nxt)
         if not nxt.isupper() or not word:
             return not word and i > 0 and s[i - 1] in _CLOSERS and nxt.isupper()
-        if "." in word and not regex.search(r"[\p{Ll}]{3,}$", word) and not regex.search(r"\d$", word):
+        if "." in word and not _WORD_END.search(word):
             return False
         tail = word.rsplit(".", 1)[-1]
         if len(plain(tail)) < 2 and not tail.isdigit():
@@ -512,8 +521,8 @@ class Splitter:
             return True
         if following.islower() and words[:1].islower():
             return True
-        stretch = regex.match(r"[^。！？!?।….\n]{1,40}", words)
-        return bool(stretch) and bool(_NO_CASE.match(words[0])) and len(stretch.group()) <= 30 and bool(_SPEECH_LATER.search(stretch.group())) and not regex.search(r"[“「«：:]", stretch.group())
+        stretch = _CLAUSE.match(words)
+        return bool(stretch) and bool(_NO_CASE.match(words[0])) and len(stretch.group()) <= 30 and bool(_SPEECH_LATER.search(stretch.group())) and not any(c in "“「«：:" for c in stretch.group())
 
     def _stop_ends(self, s: str, start: int, i: int, j: int, following: str, rest: str) -> bool:
         """Whether a single full stop ends the sentence."""
@@ -521,22 +530,22 @@ class Splitter:
         if not m:
             return True
         raw = m.group()
-        word = regex.split("['’]", plain(raw).strip("'’-"))[-1]
+        word = plain(raw).replace("’", "'").strip("'-").rsplit("'", 1)[-1]
         opens = following.isupper() or bool(_NO_CASE.match(following)) or not (following.isalnum())
-        if regex.fullmatch(r"\d+", word):
-            before = regex.search(r"(\p{L}+)\s+$", s[max(start, m.start() - 20) : m.start()])
+        if word.isdigit():
+            before = _LAST_WORD.search(s[max(start, m.start() - 20) : m.start()])
             if len(word) <= 2 and before and plain(before.group(1)) in _ORDINAL_BEFORE and following.isalpha():
                 return False
             return bool(s[start : m.start()].strip(" \t\n\"“„«»*-_'()"))
         letters = raw.replace(".", "")
         if len(letters) == 1 and letters.isalpha() and not _NO_CASE.match(letters):
             if letters.isupper():
-                if word == "v" and regex.search(r"\be\.\s+$", s[max(0, m.start() - 5) : m.start()]):
+                if word == "v" and _BEFORE_V.search(s[max(0, m.start() - 5) : m.start()]):
                     return opens
                 return False
             if word not in FINAL:
                 return False
-        kind = self.kind(word)
+        kind = self.kind(word, raw)
         if kind == "inner":
             return False
         if kind == "final":
