@@ -32,7 +32,8 @@ RANKED_TOKENS = 200_000
 
 def need_overlap(a: int, b: int, t: Fraction) -> int:
     """Common elements that sets of ``a`` and ``b`` elements need for a Jaccard similarity of ``t``."""
-    return math.ceil(t * (a + b) / (1 + t))
+    num, den = t.numerator, t.denominator
+    return -(-num * (a + b) // (den + num))
 
 
 def merge_lists(lists: list[list[int]], need: int, start: int, end: int) -> list[int]:
@@ -41,7 +42,9 @@ def merge_lists(lists: list[list[int]], need: int, start: int, end: int) -> list
     Divide and skip: the longest lists, fewer than ``need``, are only searched;
     the rest are merged over a heap with skipping.
     """
-    lists = [x for x in lists if x and x[-1] >= start]
+    if len(lists) < need:
+        return []
+    lists = [x for x in lists if x and x[-1] >= start and x[0] < end]
     if len(lists) < need or need < 1:
         return []
     lists.sort(key=len)
@@ -92,24 +95,35 @@ def join_block(token: int, index: list[tuple[int, list[int]]], probe: list[tuple
     """(class, class, common) of similar sets between ``index`` and ``probe`` (None: within ``index``).
 
     Sets list their tokens rarest first. A pair is given only in the partition of
-    its first common token.
+    its first common token, so what stands before that token in a set is no part
+    of the lists. Sets without another of a fitting size are left out first.
     """
+    num, den = t.numerator, t.denominator
     index = sorted(index, key=lambda x: (len(x[1]), x[0]))
     sizes = [len(x[1]) for x in index]
+    within = probe is None
+    if within:
+        fits = [sizes[i] * den >= num * sizes[i + 1] for i in range(len(sizes) - 1)]
+        kept = [i for i in range(len(sizes)) if (i and fits[i - 1]) or (i < len(fits) and fits[i])]
+        index, sizes = [index[i] for i in kept], [sizes[i] for i in kept]
     lists: dict[int, list[int]] = {}
     for i, (_, tokens) in enumerate(index):
-        for x in tokens:
-            lists.setdefault(x, []).append(i)
-    held = [set(x[1]) for x in index]
-    within = probe is None
+        for x in tokens[tokens.index(token) :]:
+            if x in lists:
+                lists[x].append(i)
+            else:
+                lists[x] = [i]
+    held: dict[int, set[int]] = {}
     for j, (name, tokens) in enumerate(index if within else probe):
         size = len(tokens)
-        low = bisect_left(sizes, math.ceil(t * size))
-        high = j if within else bisect_left(sizes, math.floor(size / t) + 1)
+        low = bisect_left(sizes, -(-num * size // den))
+        high = j if within else bisect_left(sizes, size * den // num + 1)
         if low >= high:
             continue
         need = need_overlap(size, sizes[low], t)
-        for i in merge_lists([lists[x] for x in tokens if x in lists], need, low, high):
+        for i in merge_lists([lists[x] for x in tokens[tokens.index(token) :] if x in lists], need, low, high):
+            if i not in held:
+                held[i] = set(index[i][1])
             other = held[i]
             common = [x for x in tokens if x in other]
             if len(common) >= need_overlap(size, len(other), t) and common[0] == token:
