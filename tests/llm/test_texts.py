@@ -133,6 +133,31 @@ def test_sentences(case):
     assert sentence_ends(text) == sorted(set(ends))
 
 
+@pytest.mark.parametrize(
+    "case",
+    [
+        "He said no.|| Then he left.|| There is no time and no boat.",
+        "Creo que no.|| Pero hoy no hay nada y no importa.",
+        "Отдал им.|| Потом ушёл.|| Мы с им же и с им самим.",
+        "Dr. Wyha came.|| Later Dr Fen and Dr Bol met Dr. Uld in aisle no. 5 again.",
+    ],
+)
+def test_document_before_lists(case):
+    """A listed word that the document uses without a stop ends its sentence."""
+    test_sentences(case)
+
+
+def test_corpus_before_lists(spark):
+    """``no`` and ``art`` are ordinary words of this corpus; ``quux`` is an abbreviation that no list has."""
+    rows = [(i, f"There is no boat and no art {'of ours' * (i % 2)} today. It shows quux. {i} here.") for i in range(40)]
+    rows += [(98, "He said no. Then he left. We like art. Nobody came."), (99, "It shows quux. Nine here.")]
+    ends = {}
+    for r in sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        ends.setdefault(r.doc_id, []).append(r.end_pos)
+    assert sorted(ends[98]) == [11, 25, 38, 51]
+    assert len(ends[3]) == 2
+
+
 def test_blank_texts():
     assert [sentence_ends(t) for t in (None, "", " \n\t", "> \n>")] == [[], [], [], []]
     assert sentence_ends("x" * 100_000) == [100_000]

@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -61,7 +62,8 @@ _THAI_SPACE = regex.compile(rf"(?<=[\p{{Thai}}\p{{P}}])(?P<face>(?:[ \u00A0\u300
 _CODE_OPEN, _CODE_CLOSE = regex.compile(r"\[code\]", regex.I), regex.compile(r"\[/code\]", regex.I)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}\u00AD\u200B-\u200D\u2060]+")
 _ANY_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_BARE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]{1,8}(?![\p{L}\p{M}.])")
+# A word without a stop; right before a capital or a digit (Dr Fen, no 5) it may be an abbreviation all the same.
+_BARE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]{1,8}(?![\p{L}\p{M}.]|[\s>\u00A0]+[\p{Lu}\p{Nd}])")
 _STOPPED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}\p{M}]\.)*[\p{L}\p{M}]+(?=\.)")
 _VOWEL = regex.compile(f"[{VOWELS}]")
 _THAI = regex.compile(r"\p{Thai}")
@@ -76,6 +78,13 @@ _OPENERS, _CLOSERS = "\"“„«‘「『(（[【¿¡", "\"”“’'»›)）]
 _PAIR = {")": "(", "）": "（", "]": "[", "】": "【", "”": "“„", "“": "„", "»": "«", "」": "「", "』": "『", "’": "‘"}
 
 
+@lru_cache(65_536)
+def _each(word: str) -> regex.Pattern:
+    """Occurrences of a word: with a stop (1), which is followed by more of the sentence (3); or without, before a capital or digit (2)."""
+    edge = r"[\p{L}\p{M}\p{N}]"
+    return regex.compile(rf"(?<!{edge}|{edge}\.)(?i:{regex.escape(word)})(?!{edge})(?:(\.)(?!{edge})|([\s>\u00A0\u200B]+[\p{{Lu}}\p{{Nd}}])?)(?:(?<=\.)([,;:]|[\s>\u00A0]+[\p{{Ll}}\p{{Nd}},;:]))?")
+
+
 def plain(word: str) -> str:
     """A word's form for lookups: no invisible characters, compatibility forms unified, case folded."""
     if word.isascii():
@@ -130,11 +139,13 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def abbreviations(counts: DataFrame, most: int = 50_000) -> dict[str, str]:
-    """Words the corpus shows to be abbreviations: ``inner`` or ``final``.
+    """What the corpus shows of words before a stop: ``inner``, ``final``, ``open`` or, of a word of the fixed lists, ``plain``.
 
-    A word qualifies if it hardly ever stands without a stop, and its stop is
+    A word is an abbreviation if it hardly ever stands without a stop, and its stop is
     often followed by more of the sentence or, for a word that is short or has no
-    vowel, by names. Only words that make at
+    vowel, by names. Too few capitals behind it leave ``open`` whether its stop may end
+    a sentence. A listed word that stands without a stop more often than with one is
+    ``plain``. Only words that make at
     least a ``most``-th part of all stops count, so the list has at most that
     many entries; a rarer word has no corpus evidence.
     """
@@ -143,8 +154,13 @@ def abbreviations(counts: DataFrame, most: int = 50_000) -> dict[str, str]:
     least = max(5, -(-total // most))
     clipped = (F.length("word") <= 2) | ~F.col("word").rlike(f"[{VOWELS}]")
     goes_on = F.col("goes_on") * 10 > stops * 3
-    sure = counts.filter((stops >= least) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2)))
-    return {r["word"]: "final" if r["common"] * 10 > r["common"] + r["name"] else "inner" for r in sure.collect()}
+    sure = (stops >= least) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2))
+    plain_use = F.col("word").isin(sorted(w for w in INNER | FINAL if len(w) > 1)) & (F.col("bare") >= 5) & (F.col("bare") > stops)
+    capitals = F.col("common") + F.col("name")
+    ends = F.col("common") * 10 > capitals
+    kind = F.when(sure & ((capitals < 5) | ends & (capitals * 20 < stops)), "open").when(sure & ends, "final")
+    rows = counts.select("word", kind.when(sure, "inner").when(plain_use, "plain").alias("kind")).filter("kind is not null")
+    return {r["word"]: r["kind"] for r in rows.collect()}
 
 
 # --- layout -----------------------------------------------------------------
@@ -289,29 +305,41 @@ class Splitter:
 
     def __init__(self, text: str, corpus: dict[str, str]):
         self.text, self.corpus = text, corpus
-        self._own: Counter | None = None
+        self._own: dict[str, tuple[int, int]] = {}
+
+    def own(self, word: str) -> tuple[int, int]:
+        """How often the document has a word without a stop, and with one before more of the sentence."""
+        if word not in self._own:
+            bare = goes_on = 0
+            for m in _each(word).finditer(self.text):
+                if m.group(1) is None:
+                    bare += m.group(2) is None
+                else:
+                    goes_on += m.group(3) is not None
+            self._own[word] = bare, goes_on
+        return self._own[word]
 
     def kind(self, word: str, raw: str) -> str | None:
-        """Of a word before a stop: ``inner``, ``final`` or no abbreviation."""
-        if word in INNER:
-            return "inner"
-        if word in FINAL:
-            return "final"
+        """Of a word before a stop: ``inner``, ``final`` or no abbreviation. The document is asked first, then the corpus, then the fixed lists."""
         letters = word.replace(".", "")
-        if "." in word and letters.isalpha() and len(letters) <= 4 and all(len(p) == 1 for p in word.split(".")):
-            return "final"
-        if len(word) > 8 or not letters.isalpha():
-            return None
+        listed = "inner" if word in INNER else "final" if word in FINAL else None
+        if listed is None and "." in word and letters.isalpha() and len(letters) <= 4 and all(len(p) == 1 for p in word.split(".")):
+            listed = "final"
+        if len(word) > 8 or len(letters) < 2 or not all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in letters):
+            return listed
         held = self.corpus.get(word)
-        if held is None and (len(word) > 2 and _VOWEL.search(word) or not 2 <= self.text.count(f"{raw}.") == self.text.count(raw)):
+        if listed is None and held is None and (len(word) > 2 and _VOWEL.search(word) or not 2 <= self.text.count(f"{raw}.") == self.text.count(raw)):
             return None  # neither the corpus nor another place in the document can tell
-        if self._own is None:
-            self._own = occurrences(self.text)
-        if self._own[word, "bare"]:
-            return None
-        if held is None and self._own[word, "goes_on"] >= 2:
+        bare, goes_on = self.own(word)
+        if bare > goes_on:  # an ordinary word here; a listed one may still go on before a digit or in lower case
+            return "final" if listed else None
+        if held == "plain":
             return "final"
-        return held
+        if held in ("inner", "final"):
+            return held
+        if held == "open" or goes_on >= 2 and not bare:
+            return listed or "final"
+        return listed
 
     def ends(self, block: Block) -> Iterator[int]:
         s = block.text
@@ -420,8 +448,7 @@ class Splitter:
                 return c
         return ""
 
-    @staticmethod
-    def _joined(s: str, i: int, j: int) -> bool:
+    def _joined(self, s: str, i: int, j: int) -> bool:
         """Whether a stop with a letter right behind it stands between two sentences."""
         before = _WORD_BEFORE.search(s, max(0, i - 40), i)
         word = before.group() if before else ""
@@ -436,7 +463,7 @@ class Splitter:
         tail = word.rsplit(".", 1)[-1]
         if len(plain(tail)) < 2 and not tail.isdigit():
             return False
-        if plain(tail) in INNER or tail.endswith("Mk"):
+        if self.kind(plain(tail), tail) == "inner" or tail.endswith("Mk"):
             return False
         if word.isupper() and len(after.group()) > 1 and after.group()[:2].isupper():
             return False
