@@ -147,6 +147,18 @@ def test_document_before_lists(case):
     test_sentences(case)
 
 
+@pytest.mark.parametrize(
+    "case",
+    [
+        "The brig. 3 came.|| See the brig. and brig. 5 there.|| A brig. and then.",
+        "Acme Inc. Chairman Fen spoke.|| We met Chairman Bol.|| He sold to Acme Inc.|| They were glad and they left.",
+    ],
+)
+def test_document_evidence(case):
+    """An abbreviation that no list has, of over two letters and with a vowel; a name behind a final abbreviation, and a common word."""
+    test_sentences(case)
+
+
 def test_corpus_before_lists(spark):
     """``no`` and ``art`` are ordinary words of this corpus; ``quux`` is an abbreviation that no list has."""
     rows = [(i, f"There is no boat and no art {'of ours' * (i % 2)} today. It shows quux. {i} here.") for i in range(40)]

@@ -65,7 +65,7 @@ _ANY_WORD = regex.compile(r"[\p{L}\p{M}]+")
 # A word without a stop; right before a capital or a digit (Dr Fen, no 5) it may be an abbreviation all the same.
 _BARE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]{1,8}(?![\p{L}\p{M}.]|[\s>\u00A0]+[\p{Lu}\p{Nd}])")
 _STOPPED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}\p{M}]\.)*[\p{L}\p{M}]+(?=\.)")
-_VOWEL = regex.compile(f"[{VOWELS}]")
+_WITHIN = regex.compile(r"(?<=[\p{Ll},][\s>\u00A0]{1,3})\p{Lu}[\p{L}\p{M}]+")
 _THAI = regex.compile(r"\p{Thai}")
 _WORD_AFTER = regex.compile(r"[\p{L}\p{M}\p{N}.\-/'’]+")
 _WORD_END = regex.compile(r"(?:\p{Ll}{3}|\d)$")
@@ -94,34 +94,45 @@ def plain(word: str) -> str:
 
 # --- evidence ---------------------------------------------------------------
 
-#: Occurrences of a word: without a stop; with one before more of the sentence; before a capitalised common word; before another capitalised word.
-KINDS = ("bare", "goes_on", "common", "name")
+#: Of a word: occurrences without a stop; with one before more of the sentence; before a capitalised common word; before another
+#: capitalised word; behind a stop in capitals. Documents that have it in lower case; within a sentence in capitals; that show it as an abbreviation.
+KINDS = ("bare", "goes_on", "common", "name", "after", "lower", "within", "asked")
 
 
 def occurrences(text: str) -> Counter:
-    """(word, kind) counts of one document, for short words."""
+    """(word, kind) counts of one document, for short words and for words that may follow them."""
     counts: Counter = Counter()
     for raw, n in Counter(_BARE.findall(text)).items():
         counts[plain(raw), "bare"] += n
-    words = None
+    words = set(_ANY_WORD.findall(text))
+    for kind, some in (("lower", filter(str.islower, words)), ("within", _WITHIN.findall(text))):
+        for word in {plain(w) for w in some}:
+            counts[word, kind] = 1
+    repeated = set()
     for m in _STOPPED.finditer(text):
         raw, end = m.group(), m.end()
         rest = text[end + 1 : end + 12].lstrip(" \r\n>\u00A0")
         if len(raw) > 8 or not rest or not (text[end + 1].isspace() or text[end + 1] in ",;:"):
             continue
+        word = plain(raw)
         if rest[0].islower() or rest[0].isdigit() or rest[0] in ",;:":
-            counts[plain(raw), "goes_on"] += 1
+            counts[word, "goes_on"] += 1
+            if counts[word, "goes_on"] == 2:
+                repeated.add(word)
         elif rest[0].isupper():
-            if words is None:
-                words = set(_ANY_WORD.findall(text))
             follower = _NEXT_WORD.match(text, text.index(rest[0], end + 1))
             common = follower is not None and follower.group().lower() in words
-            counts[plain(raw), "common" if common else "name"] += 1
+            counts[word, "common" if common else "name"] += 1
+            if follower is not None:
+                counts[plain(follower.group()), "after"] += 1
+    for word in repeated:
+        if not counts[word, "bare"]:
+            counts[word, "asked"] = 1
     return counts
 
 
 def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, bare, goes_on, common, name) over the whole corpus; batches are combined before the exchange."""
+    """(word, one column for each of ``KINDS``) over the whole corpus; batches are combined before the exchange."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,29 +149,32 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("word").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
-def abbreviations(counts: DataFrame, most: int = 50_000) -> dict[str, str]:
-    """What the corpus shows of words before a stop: ``inner``, ``final``, ``open`` or, of a word of the fixed lists, ``plain``.
+def lexicon(counts: DataFrame, most: int = 50_000) -> DataFrame:
+    """(word, kind, name): what the corpus shows of words before a stop, and of capitalised words behind one.
 
-    A word is an abbreviation if it hardly ever stands without a stop, and its stop is
-    often followed by more of the sentence or, for a word that is short or has no
-    vowel, by names. Too few capitals behind it leave ``open`` whether its stop may end
-    a sentence. A listed word that stands without a stop more often than with one is
-    ``plain``. Only words that make at
-    least a ``most``-th part of all stops count, so the list has at most that
-    many entries; a rarer word has no corpus evidence.
+    ``kind`` is ``inner``, ``final``, ``open``, ``plain`` or null. A word is an
+    abbreviation if it hardly ever stands without one, and
+    its stop is often followed by more of the sentence or, for a word that is short or
+    has no vowel, by names. Too few capitals behind it leave ``open`` whether its
+    stop may end a sentence. A word of the fixed lists, or one that some document shows
+    as an abbreviation, is ``plain`` if it stands without a stop more often than with
+    one. ``name`` holds for words that stand within sentences in capitals and in no
+    document in lower case. An abbreviation makes at least a ``most``-th part of all stops. Of a listed ``final`` word it is enough
+    that common words in capitals follow its stop: sentences start there, with names too.
     """
     stops = F.col("goes_on") + F.col("common") + F.col("name")
-    total = counts.agg(F.sum(stops)).first()[0] or 0
-    least = max(5, -(-total // most))
     clipped = (F.length("word") <= 2) | ~F.col("word").rlike(f"[{VOWELS}]")
     goes_on = F.col("goes_on") * 10 > stops * 3
-    sure = (stops >= least) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2))
-    plain_use = F.col("word").isin(sorted(w for w in INNER | FINAL if len(w) > 1)) & (F.col("bare") >= 5) & (F.col("bare") > stops)
+    total = counts.agg(F.sum(stops)).first()[0] or 0
+    sure = (stops >= max(5, -(-total // most))) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2))
+    asked = (F.col("asked") > 0) | F.col("word").isin(sorted(w for w in INNER | FINAL if len(w) > 1))
+    plain_use = asked & (F.col("bare") >= 5) & (F.col("bare") > stops)
     capitals = F.col("common") + F.col("name")
     ends = F.col("common") * 10 > capitals
-    kind = F.when(sure & ((capitals < 5) | ends & (capitals * 20 < stops)), "open").when(sure & ends, "final")
-    rows = counts.select("word", kind.when(sure, "inner").when(plain_use, "plain").alias("kind")).filter("kind is not null")
-    return {r["word"]: r["kind"] for r in rows.collect()}
+    kind = F.when(sure & ((capitals < 5) | ends & (capitals * 20 < stops)), "open").when(sure & ends, "final").when(sure, "inner").when(plain_use, "plain")
+    kind = kind.when(F.col("word").isin(sorted(FINAL)) & (F.col("common") >= 5) & ends, "final")
+    name = (F.col("after") > 0) & (F.col("within") > 0) & (F.col("lower") == 0)
+    return counts.select("word", kind.alias("kind"), name.alias("is_name")).filter("kind is not null or is_name")
 
 
 # --- layout -----------------------------------------------------------------
@@ -301,11 +315,12 @@ def layout(text: str) -> Iterator[tuple[str, Block]]:
 
 
 class Splitter:
-    """Cuts the texts of one document; ``corpus`` gives the abbreviations of the corpus."""
+    """Cuts the texts of one document; ``corpus`` gives the kind and the name flag of words in the corpus."""
 
-    def __init__(self, text: str, corpus: dict[str, str]):
+    def __init__(self, text: str, corpus: dict[str, tuple[str | None, bool]]):
         self.text, self.corpus = text, corpus
         self._own: dict[str, tuple[int, int]] = {}
+        self._names: dict[str, bool] = {}
 
     def own(self, word: str) -> tuple[int, int]:
         """How often the document has a word without a stop, and with one before more of the sentence."""
@@ -320,26 +335,43 @@ class Splitter:
         return self._own[word]
 
     def kind(self, word: str, raw: str) -> str | None:
-        """Of a word before a stop: ``inner``, ``final`` or no abbreviation. The document is asked first, then the corpus, then the fixed lists."""
+        """Of a word before a stop: ``inner``, ``final`` or no abbreviation; ``open`` if what follows decides whether its stop ends the sentence.
+
+        The document is asked first, then the corpus, then the fixed lists.
+        """
         letters = word.replace(".", "")
         listed = "inner" if word in INNER else "final" if word in FINAL else None
         if listed is None and "." in word and letters.isalpha() and len(letters) <= 4 and all(len(p) == 1 for p in word.split(".")):
             listed = "final"
         if len(word) > 8 or len(letters) < 2 or not all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in letters):
             return listed
-        held = self.corpus.get(word)
-        if listed is None and held is None and (len(word) > 2 and _VOWEL.search(word) or not 2 <= self.text.count(f"{raw}.") == self.text.count(raw)):
+        held = self.corpus.get(word, (None, False))[0]
+        if listed is None and held in (None, "plain") and self.text.count(f"{raw}.") < 2:
             return None  # neither the corpus nor another place in the document can tell
         bare, goes_on = self.own(word)
         if bare > goes_on:  # an ordinary word here; a listed one may still go on before a digit or in lower case
             return "final" if listed else None
         if held == "plain":
-            return "final"
+            return "final" if listed else None
         if held in ("inner", "final"):
             return held
-        if held == "open" or goes_on >= 2 and not bare:
-            return listed or "final"
-        return listed
+        if listed == "inner":
+            return listed
+        return "open" if listed or held == "open" or goes_on >= 2 and not bare else None
+
+    def is_name(self, rest: str) -> bool:
+        """Whether the document, or else the corpus, has the capitalised word ahead within sentences in capitals and nowhere in lower case."""
+        m = _NEXT_WORD.search(rest)
+        word = plain(m.group()) if m else ""
+        if word not in self._names:
+            self._names[word] = False
+            if len(word) > 1:
+                edge = r"[\p{L}\p{M}\p{N}]"
+                lower = regex.search(rf"(?<!{edge}){regex.escape(word)}(?!{edge})", self.text)
+                if lower is None:
+                    within = regex.search(rf"[\p{{Ll}},][\s>\u00A0]+(?=\p{{Lu}})(?i:{regex.escape(word)})(?!{edge})", self.text)
+                    self._names[word] = bool(within) or self.corpus.get(word, (None, False))[1]
+        return self._names[word]
 
     def ends(self, block: Block) -> Iterator[int]:
         s = block.text
@@ -575,12 +607,14 @@ class Splitter:
         kind = self.kind(word, raw)
         if kind == "inner":
             return False
+        if kind == "open":
+            return opens and not (rest.lstrip()[:1].isupper() and self.is_name(rest))
         if kind == "final":
             return opens
         return True
 
 
-def sentence_ends(text: str, corpus: dict[str, str] | None = None) -> list[int]:
+def sentence_ends(text: str, corpus: dict[str, tuple[str | None, bool]] | None = None) -> list[int]:
     """End positions, in code points, of the sentence units of a text."""
     if not text or not text.strip():
         return []
@@ -604,21 +638,22 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     unit's last character that is not white space. Null, empty and blank texts
     have no units; texts of any length are read whole; a repeated row gives its
     units again; an empty table gives no rows. Two passes: corpus counts, then a
-    map with the abbreviations found there. Other columns are ignored.
+    map with what they show of its words. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    known = spark.sparkContext.broadcast(abbreviations(materialize(corpus_counts(docs, text), "word_counts")))
+    known = materialize(lexicon(corpus_counts(docs, text)), "lexicon")
+    rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null"))
+    shipped = spark.sparkContext.broadcast({r["word"]: (r["kind"], r["is_name"]) for r in known.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[int] = []
             ends: list[int] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sentence_ends(t, known.value)
+                own = sentence_ends(t, shipped.value)
                 keys += [k] * len(own)
                 ends += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends, pa.int64())], names=[key, "end_pos"])
 
-    rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null"))
     return rows.mapInArrow(run, f"`{key}` bigint, end_pos bigint")
