@@ -2,6 +2,7 @@
 
 import pytest
 
+from weftgraph.llm import sentences as module
 from weftgraph.llm import tokenize
 from weftgraph.llm.leaks import TemplateIndex, fold, leaked_items, normalise
 from weftgraph.llm.sentences import sentence_ends, sentences
@@ -159,6 +160,23 @@ def test_document_evidence(case):
     test_sentences(case)
 
 
+def test_join_of_words(spark, small, monkeypatch):
+    """More words than are broadcast: joined to the documents, with the same ends."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = [(i, f"It shows quux. {i} here.") for i in range(40)] + [(99, "It shows quux. Nine here."), (99, "It shows quux. Nine here."), (None, "No. 5 art. Nine."), (97, None)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    broadcast = sorted(sentences(docs).collect(), key=str)
+    monkeypatch.setattr(module, "HELD_WORDS", 0)
+    assert sorted(sentences(docs).collect(), key=str) == broadcast
+
+
+def test_evidence_does_not_fade(spark):
+    """A word with five stops keeps its kind however many stops the corpus has."""
+    columns = ", ".join(f"{k} bigint" for k in module.KINDS)
+    rows = [("quux", 0, 6, 0, 0, 0, 0, 0, 0), ("boats", 9, 0, 5_000_000, 5_000_000, 0, 9, 0, 0)]
+    assert {r.word: r.kind for r in module.lexicon(spark.createDataFrame(rows, f"word string, {columns}")).collect()} == {"quux": "open"}
+
+
 def test_corpus_before_lists(spark):
     """``no`` and ``art`` are ordinary words of this corpus; ``quux`` is an abbreviation that no list has."""
     rows = [(i, f"There is no boat and no art {'of ours' * (i % 2)} today. It shows quux. {i} here.") for i in range(40)]

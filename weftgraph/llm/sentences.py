@@ -92,6 +92,9 @@ def plain(word: str) -> str:
     return unicodedata.normalize("NFKC", _INVISIBLE.sub("", word)).casefold()
 
 
+#: Words of the corpus that are broadcast; more of them are joined to the documents.
+HELD_WORDS = 200_000
+
 # --- evidence ---------------------------------------------------------------
 
 #: Of a word: occurrences without a stop; with one before more of the sentence; before a capitalised common word; before another
@@ -149,24 +152,24 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("word").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
-def lexicon(counts: DataFrame, most: int = 50_000) -> DataFrame:
+def lexicon(counts: DataFrame) -> DataFrame:
     """(word, kind, name): what the corpus shows of words before a stop, and of capitalised words behind one.
 
     ``kind`` is ``inner``, ``final``, ``open``, ``plain`` or null. A word is an
-    abbreviation if it hardly ever stands without one, and
+    abbreviation if it has five stops at least, hardly ever stands without one, and
     its stop is often followed by more of the sentence or, for a word that is short or
     has no vowel, by names. Too few capitals behind it leave ``open`` whether its
     stop may end a sentence. A word of the fixed lists, or one that some document shows
     as an abbreviation, is ``plain`` if it stands without a stop more often than with
     one. ``name`` holds for words that stand within sentences in capitals and in no
-    document in lower case. An abbreviation makes at least a ``most``-th part of all stops. Of a listed ``final`` word it is enough
+    document in lower case. The rules are shares and fixed counts, so that a word's
+    evidence does not fade as the corpus grows. Of a listed ``final`` word it is enough
     that common words in capitals follow its stop: sentences start there, with names too.
     """
     stops = F.col("goes_on") + F.col("common") + F.col("name")
     clipped = (F.length("word") <= 2) | ~F.col("word").rlike(f"[{VOWELS}]")
     goes_on = F.col("goes_on") * 10 > stops * 3
-    total = counts.agg(F.sum(stops)).first()[0] or 0
-    sure = (stops >= max(5, -(-total // most))) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2))
+    sure = (stops >= 5) & (F.col("bare") * 25 < stops) & (goes_on | clipped & (F.col("name") * 5 > stops * 2))
     asked = (F.col("asked") > 0) | F.col("word").isin(sorted(w for w in INNER | FINAL if len(w) > 1))
     plain_use = asked & (F.col("bare") >= 5) & (F.col("bare") > stops)
     capitals = F.col("common") + F.col("name")
@@ -638,22 +641,50 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     unit's last character that is not white space. Null, empty and blank texts
     have no units; texts of any length are read whole; a repeated row gives its
     units again; an empty table gives no rows. Two passes: corpus counts, then a
-    map with what they show of its words. Other columns are ignored.
+    map with what they show of its words: broadcast up to ``HELD_WORDS``, else joined
+    to the documents that hold them. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     known = materialize(lexicon(corpus_counts(docs, text)), "lexicon")
     rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null"))
-    shipped = spark.sparkContext.broadcast({r["word"]: (r["kind"], r["is_name"]) for r in known.collect()})
+    shipped = None
+    if known.count() <= HELD_WORDS:
+        shipped = spark.sparkContext.broadcast({r["word"]: (r["kind"], r["is_name"]) for r in known.collect()})
+    else:
+        rows = with_words(rows, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[int] = []
             ends: list[int] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sentence_ends(t, shipped.value)
+            held = batch.column(2).to_pylist() if shipped is None else [None] * batch.num_rows
+            for k, t, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held):
+                own = sentence_ends(t, shipped.value if shipped is not None else {w["word"]: (w["kind"], w["is_name"]) for w in words or ()})
                 keys += [k] * len(own)
                 ends += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends, pa.int64())], names=[key, "end_pos"])
 
     return rows.mapInArrow(run, f"`{key}` bigint, end_pos bigint")
+
+
+def asked_words(text: str) -> set[str]:
+    """Words of a document that the corpus may be asked about: those before a stop, and capitalised ones."""
+    words = {w for t in (text, _INVISIBLE.sub("", text)) for w in map(plain, _STOPPED.findall(t)) if len(w) <= 16}
+    return words | {w.rsplit(".", 1)[-1] for w in words} | {plain(w) for w in _NEXT_WORD.findall(text) if _INVISIBLE.sub("", w)[:1].isupper()}
+
+
+def with_words(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(k, t, words): each text with the entries of ``known`` for its words; equal texts share them."""
+    rows = rows.withColumn("h", F.sha2("t", 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(h, w) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in asked_words(t)]
+            cols = zip(*pairs) if pairs else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["h", "word"])
+
+    pairs = rows.select("h", "t").mapInArrow(run, "h string, word string").join(known, "word")
+    # As a set: copies of a text would gather their words once for each copy.
+    words = pairs.groupBy("h").agg(F.collect_set(F.struct("word", "kind", "is_name")).alias("words"))
+    return rows.join(words, "h", "left").select("k", "t", "words")
