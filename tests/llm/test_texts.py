@@ -76,6 +76,19 @@ def test_reparameterised():
         assert (len(leaked), len(other)) == (0, hit)
 
 
+def test_reparameterised_characters(spark):
+    """Numbers are slots in zh, ja and th too, whatever their length; other characters are not."""
+    zh = "大约1.04巴的时候我的邻居找到了手册因为便宜的传感器找到了一盏黄灯笼退休的焊工在77分钟以后修好了温室的门"
+    th = "ทีมซ่อนสมอ 35 ตัวตอน 4.30 น. แล้วกะขายน็อต 35 ตัวให้เพื่อนบ้านที่ท่าเรือ"
+    docs = [
+        (1, zh.replace("1.04", "2.22").replace("77", "108")), (2, zh), (3, zh.replace("手册", "图纸").replace("传感器", "水泵")),
+        (4, th.replace("35", "7").replace("4.30", "12.15")), (5, th.replace("35", "7", 1)), (6, zh[:20].replace("1.04", "9.9")),
+    ]
+    items = spark.createDataFrame([(1, "zh", zh), (2, "th", th)], "item_id bigint, lang string, passage string")
+    found = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in found) == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (5, 2, 1)]
+
+
 def test_leaks_brute_force(spark, small):
     import collections
 

@@ -28,8 +28,8 @@ from weftgraph.session import ship_package, spread
 WORD_WINDOW, CHAR_WINDOW = 12, 40
 #: Windows of items that are held at once; more items are taken in further passes.
 BLOCK_WINDOWS = 2_000_000
-#: Words of a window that must not be placeholders for a re-parameterised copy.
-LEAST_PLAIN = 7
+#: Words, or characters, of a window that must not be placeholders for a re-parameterised copy.
+LEAST_PLAIN, LEAST_PLAIN_CHARS = 7, 24
 # Languages written without spaces between words, and words that are units.
 CHAR_LANGS = {"zh", "ja", "th"}
 UNITS = frozenset(
@@ -43,6 +43,7 @@ _BB_TAG = regex.compile(r"\[/?[A-Za-z]+(?:=[^\[\]]{0,80})?\]")
 _INVISIBLE = regex.compile("[\u00AD\u200B-\u200D\u2060\uFEFF]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _CHAR = regex.compile(r"[\p{L}\p{M}\p{Nd}]")
+_CHAR_OR_NUMBER = regex.compile(r"[\p{L}\p{M}]|\p{Nd}+")
 _DIGIT = regex.compile(r"\p{Nd}")
 _NO_SPACES = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -70,11 +71,17 @@ def is_name_like(word: str) -> bool:
 
 
 class TemplateIndex:
-    """Template windows of evaluation items of one kind: words or characters."""
+    """Template windows of evaluation items of one kind: words or characters.
 
-    def __init__(self, items: list[tuple[int, str]], window: int, chars: bool):
+    Characters have two indexes: one of single characters for leaks, and one in which
+    a number (``numbers``) is one unit, and so a slot, for re-parameterised copies.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], window: int, chars: bool, numbers: bool = False):
         self.window, self.chars = window, chars
-        self.unit = _CHAR if chars else _WORD
+        self.slots = numbers or not chars
+        self.least_plain = LEAST_PLAIN_CHARS if chars else LEAST_PLAIN
+        self.unit = _WORD if not chars else _CHAR_OR_NUMBER if numbers else _CHAR
         self.names = [] if chars else self._names([t for _, t in items])
         self.vocabulary: dict[str, int] = {}
         for _, text in items:
@@ -173,7 +180,7 @@ class TemplateIndex:
 
     def _consistent(self, mine: list[str], theirs: list[str], codes: np.ndarray) -> bool:
         """Plain words equal, slots replaced one to one, and enough plain words."""
-        if self.chars or int((codes >= FIRST_PLAIN).sum()) < LEAST_PLAIN:
+        if not self.slots or int((codes >= FIRST_PLAIN).sum()) < self.least_plain:
             return False
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
@@ -218,8 +225,8 @@ def leaked_items(
     out = None
     for block in item_blocks(items, item, lang, passage):
         kinds = [
-            TemplateIndex([(i, p) for i, l, p in block if (l in CHAR_LANGS) == chars], char_window if chars else word_window, chars)
-            for chars in (False, True)
+            TemplateIndex([(i, p) for i, l, p in block if (l in CHAR_LANGS) == chars], char_window if chars else word_window, chars, numbers)
+            for chars, numbers in ((False, False), (True, False), (True, True))
         ]
         shipped = spark.sparkContext.broadcast([k for k in kinds if len(k.sorted)])
 
