@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftgraph import registry
 from weftgraph.functions import bits, vectors
 from weftgraph.functions.ids import IdMap, intervals
 from weftgraph.model import GraphSchema
@@ -56,6 +57,16 @@ def test_paths(edges):
     assert tree == {1: (0, 1), 2: (1, 1), 5: (1, 1), 3: (2, 2), 4: (3, 3)}
 
 
+@pytest.mark.parametrize("name", ["bfs_levels", "sssp_parents"])
+def test_searches_run_to_the_end(spark, tmp_path, monkeypatch, name):
+    """The registered searches follow a chain of twelve steps from part 7, over more levels than are kept apart."""
+    monkeypatch.setattr(traversal, "MOST_TABLES", 5)
+    lines = [(1, n, 6 + n, "A", 1.0) for n in range(1, 14)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.level) for r in rows) == [(7 + k, k) for k in range(13)]
+
+
 def test_components_and_program(spark, edges):
     vertices = spark.range(1, 9)
     expected = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import materialize
 
+#: Levels of a search that are kept as tables of their own.
+MOST_TABLES = 24
+
 
 def _of_type(edges: DataFrame, etype: int | None) -> DataFrame:
     rows = edges if etype is None else edges.filter(F.col("etype") == etype)
@@ -46,6 +49,8 @@ def bfs(edges: DataFrame, start: int, etype: int | None = None, max_depth: int |
         if frontier.isEmpty():
             break
         found.append(frontier)
+        if len(found) > MOST_TABLES:  # a deep search would else plan a union of one table a level
+            found = [materialize(reduce(DataFrame.unionByName, found), "found")]
         if until is not None and not frontier.filter(F.col("id") == until).isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

@@ -484,14 +484,14 @@ B AS (SELECT id, min(level) AS level FROM L GROUP BY id)"""
 
 @query("bfs_levels", f"WITH RECURSIVE {_P}, {_LEVELS} SELECT id, level FROM B")
 def bfs_levels(spark, path):
-    return traversal.bfs(fx.part_edges(spark, path), 7, 0, max_depth=8).select("id", "level")
+    return traversal.bfs(fx.part_edges(spark, path), 7, 0).select("id", "level")
 
 
 @query("sssp_parents", f"""
 WITH RECURSIVE {_P}, {_LEVELS} SELECT b.id, b.level, coalesce(min(a.id), 7) AS parent
 FROM B b LEFT JOIN P p ON p.dst = b.id AND p.etype = 0 AND b.level > 0 LEFT JOIN B a ON a.id = p.src AND a.level = b.level - 1 GROUP BY b.id, b.level""")
 def sssp_parents(spark, path):
-    return traversal.bfs(fx.part_edges(spark, path), 7, 0, max_depth=8)
+    return traversal.bfs(fx.part_edges(spark, path), 7, 0)
 
 
 @query("shortest_path", f"""
