@@ -57,6 +57,15 @@ def test_paths(edges):
     assert tree == {1: (0, 1), 2: (1, 1), 5: (1, 1), 3: (2, 2), 4: (3, 3)}
 
 
+def test_batches_of_hot_keys(spark):
+    """Every answer comes once, in batches that a hot key and parallel edges cannot outgrow."""
+    rows = [(1, d, 3, d) for d in range(2_500)] + [(1, 7, 3, 10_000 + k) for k in range(2_100)] + [(2, 9, 3, 1)]
+    result = spark.createDataFrame(rows, "query_id bigint, neighbor_id bigint, etype int, edge_id bigint")
+    got = lookup.batches(result).collect()
+    assert max(len(r.neighbors) for r in got) <= 1_000 and all(r.neighbors == sorted(r.neighbors) for r in got)
+    assert sorted((r.query_id, n) for r in got for n in r.neighbors) == sorted((q, n) for q, n, _, _ in rows)
+
+
 @pytest.mark.parametrize("name", ["bfs_levels", "sssp_parents"])
 def test_searches_run_to_the_end(spark, tmp_path, monkeypatch, name):
     """The registered searches follow a chain of twelve steps from part 7, over more levels than are kept apart."""

@@ -138,6 +138,19 @@ def grouped(result: DataFrame) -> DataFrame:
     return result.groupBy("query_id").agg(F.sort_array(F.collect_list("neighbor_id")).alias("neighbors"))
 
 
+def batches(result: DataFrame, most: int = 1_000, width: int = 1_024) -> DataFrame:
+    """(query_id, block, part, neighbors): a neighbour query's answers in sorted arrays of at most ``most``.
+
+    A block holds the neighbours of ``width`` consecutive ids, so the answers of a hot
+    key are spread over tasks and no task gathers them; a block of more than ``most``
+    answers comes in parts, in the order of neighbour and edge.
+    """
+    blocks = result.withColumn("block", F.floor(F.col("neighbor_id") / width))
+    order = Window.partitionBy("query_id", "block").orderBy("neighbor_id", "edge_id")
+    parts = blocks.withColumn("part", F.floor((F.row_number().over(order) - 1) / most))
+    return parts.groupBy("query_id", "block", "part").agg(F.sort_array(F.collect_list("neighbor_id")).alias("neighbors"))
+
+
 def first_n(result: DataFrame, n: int) -> DataFrame:
     """At most ``n`` answers of each query, the least neighbours first."""
     order = Window.partitionBy("query_id").orderBy("neighbor_id", "edge_id")

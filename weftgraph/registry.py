@@ -142,6 +142,17 @@ def query_out_grouped(spark, path):
     return lookup.grouped(result).select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
 
 
+@query("query_out_batches", f"""
+WITH {_E}, b AS (
+  SELECT src, dst, dst // 1024 AS block, (row_number() OVER (PARTITION BY src, dst // 1024 ORDER BY dst, edge_id) - 1) // 1000 AS part FROM E WHERE etype = 3)
+SELECT src AS query_id, block, part, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM b GROUP BY src, block, part""")
+def query_out_batches(spark, path):
+    """The neighbours of every src, hot ones too, in bounded batches."""
+    edges = fx.edge_table(spark, path)
+    result = lookup.query_out(edges, edges.select(F.col("src").alias("id")), 3)
+    return lookup.batches(result).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))
+
+
 @query("query_out_first5", f"""
 WITH {_E} SELECT src AS query_id, dst AS neighbor_id, edge_id FROM E WHERE src IN {_HUBS} AND etype = 0
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst, edge_id) <= 5""")
