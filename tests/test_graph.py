@@ -57,6 +57,19 @@ def test_paths(edges):
     assert tree == {1: (0, 1), 2: (1, 1), 5: (1, 1), 3: (2, 2), 4: (3, 3)}
 
 
+def test_queries_over_all_egos_and_edges(spark, tmp_path):
+    """An ego above 199 and edges of a weight above 5 are there in the whole queries."""
+    lines = [(o, n, p, "A", 40.0) for o, way in enumerate([(900, 901, 902), (900, 902, 903), (901, 903), (900, 903)]) for n, p in enumerate(way, 1)]
+    spark.createDataFrame(lines, "l_orderkey int, l_linenumber int, l_partkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(p, "x", "y", 1) for p in (900, 901, 902, 903, 904)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.ego for r in run("triple_freqs_all")} == {900, 901} and len(run("csv_sinks_all")) == 2
+    assert [(r.component, r.size) for r in run("component_sizes_all")] == [(900, 4)]
+    assert {r.id: r.label for r in run("min_label_all")} == {900: 900, 901: 900, 902: 900, 903: 900, 904: 904}
+    assert {r.vertex: r.level1 for r in run("multi_bfs_all")} == {900: 3, 901: 3, 902: 3, 903: 3, 904: 0}
+
+
 def test_batches_of_hot_keys(spark):
     """Every answer comes once, in batches that a hot key and parallel edges cannot outgrow."""
     rows = [(1, d, 3, d) for d in range(2_500)] + [(1, 7, 3, 10_000 + k) for k in range(2_100)] + [(2, 9, 3, 1)]

@@ -525,6 +525,42 @@ def multi_bfs_hist(spark, path):
     return traversal.level_histogram(traversal.multi_bfs(edges, spark.range(40)))
 
 
+@query("multi_bfs_all")
+def multi_bfs_all(spark, path):
+    """Levels around the 1,200 least parts over all edges; as many searches are beyond the SQL."""
+    seeds = fx.part_vertices(spark, path).select("id").orderBy("id").limit(1_200)
+    return traversal.level_histogram(traversal.multi_bfs(fx.part_edges(spark, path), seeds))
+
+
+# --- whole tables: the egos and edges that the bounded queries of the same names leave out
+
+_TRIPLES_ALL = _TRIPLES.replace("e.src <= 199 AND ", "")
+
+
+def _egos(spark: SparkSession, path: str) -> DataFrame:
+    return fx.part_edges(spark, path).select(F.col("src").alias("id"))
+
+
+@query("triple_freqs_all", f"WITH {_P}, {_TRIPLES_ALL} SELECT ego, n, c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
+def triple_freqs_all(spark, path):
+    return graph.triple_frequencies(graph.ego_graphs(fx.part_edges(spark, path), _egos(spark, path)))
+
+
+@query("triple_distribution_all", f"""
+WITH {_P}, {_TRIPLES_ALL} SELECT ego, round((c - e1 - e2 - e3) / c, 6) AS edges0, round(e1 / c, 6) AS edges1, round(e2 / c, 6) AS edges2, round(e3 / c, 6) AS edges3 FROM q WHERE n >= 4""")
+def triple_distribution_all(spark, path):
+    out = graph.triple_distribution(fx.part_edges(spark, path), _egos(spark, path))
+    return out.select("ego", *[F.round(f"edges{k}", 6).alias(f"edges{k}") for k in range(4)])
+
+
+@query("csv_sinks_all", f"WITH {_P}, {_TRIPLES_ALL} SELECT c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
+def csv_sinks_all(spark, path):
+    """Triple frequencies of every ego written as CSV and read back."""
+    target = scratch_path(spark, "csv")
+    sinks.write_triple_frequencies(triple_freqs_all(spark, path), target)
+    return spark.read.option("header", True).schema("edges0 bigint, edges1 bigint, edges2 bigint, edges3 bigint").csv(target)
+
+
 # --- vertex programs ---------------------------------------------------------
 
 _CC = """links AS (SELECT src AS a, dst AS b FROM P WHERE weight <= 1 UNION SELECT dst, src FROM P WHERE weight <= 1),
@@ -549,6 +585,26 @@ def min_label_program(spark, path):
     return compute.run_program(compute.ReachableMin(), fx.part_vertices(spark, path), fx.sparse_part_edges(spark, path), 100)
 
 
+_CC_ALL = _CC.replace(" WHERE weight <= 1", "")
+
+
+@query("components_all", f"WITH RECURSIVE {_P}, {_CC_ALL} SELECT v AS id, g AS component FROM label")
+def components_all(spark, path):
+    """Components over all part edges."""
+    return compute.connected_components(fx.part_vertices(spark, path), fx.part_edges(spark, path))
+
+
+@query("component_sizes_all", f"WITH RECURSIVE {_P}, {_CC_ALL} SELECT g AS component, count(*) AS size FROM label GROUP BY g HAVING count(*) > 1 ORDER BY size DESC, component DESC LIMIT 20")
+def component_sizes_all(spark, path):
+    return compute.component_sizes(components_all(spark, path))
+
+
+@query("min_label_all", f"WITH RECURSIVE {_P}, {_CC_ALL} SELECT v AS id, g AS label FROM label")
+def min_label_all(spark, path):
+    """The same components by the vertex program, until no vertex is active."""
+    return compute.run_program(compute.ReachableMin(), fx.part_vertices(spark, path), fx.part_edges(spark, path), 1_000_000)
+
+
 def _rank_round(k: int, last: str) -> str:
     return f"""r{k} AS (SELECT v.p_partkey AS id, 0.15 / n.n + 0.85 * coalesce(sum(greatest(CAST(0.15 AS DOUBLE), {last}.rank) / o.d), 0) AS rank
 FROM part v CROSS JOIN n LEFT JOIN P e ON e.dst = v.p_partkey LEFT JOIN {last} ON {last}.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.p_partkey, n.n)"""
