@@ -89,6 +89,14 @@ def test_reparameterised_characters(spark):
     assert sorted((r.doc_id, r.item_id, r.exact) for r in found) == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (5, 2, 1)]
 
 
+def test_characters_as_entities(spark):
+    """A post whose only characters of the script are numeric entities."""
+    zh = "旧水泵藏起了裂开的罗盘码头管理员拍下了生锈的阀门暴风雨之后特乔图修好了温室的门"
+    docs = spark.createDataFrame([(1, "so " + "".join(f"&#{ord(c)};" for c in zh)), (2, "so")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "zh", zh + "虽然便宜的传感器")], "item_id bigint, lang string, passage string")
+    assert [(r.doc_id, r.exact) for r in leaked_items(docs, items, char_window=30).collect()] == [(1, 1)]
+
+
 def test_leaks_brute_force(spark, small):
     import collections
 

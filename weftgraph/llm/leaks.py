@@ -131,9 +131,13 @@ class TemplateIndex:
 
     def read(self, text: str) -> tuple[list[str], np.ndarray]:
         """Folded words of a text and their codes; 0 for words that no item has and that fill no slot."""
+        return self.read_normal(normalise(text))
+
+    def read_normal(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The same of a text that is normalised."""
         known = self.vocabulary.get
         words, codes = [], []
-        for raw in self.unit.findall(normalise(text)):
+        for raw in self.unit.findall(text):
             w = fold(raw)
             code = known(w)
             if code is None:
@@ -234,10 +238,11 @@ def leaked_items(
             for batch in batches:
                 found: list[tuple[int, int, int]] = []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    t = normalise(t)
                     for index in shipped.value:
                         if index.needs_script and not _NO_SPACES.search(t):
                             continue
-                        words, codes = index.read(t)
+                        words, codes = index.read_normal(t)
                         h, ok = index.hashes(codes)
                         if ok.any():
                             leaked, other = index.matches(words, codes, h, ok)
