@@ -181,6 +181,54 @@ def test_document_evidence(case):
     test_sentences(case)
 
 
+@pytest.mark.parametrize(
+    "case",
+    [
+        "He sold his art.|| The art was good.",
+        "I said no.|| The no came late.",
+        "He said no.|| She went home.",
+        "like ed.|| The ed was fine.",
+        "Gen. Smith came.|| Capt. Roy left.",
+        "Dat is drs. Jansen.|| Er zijn bijv. Appels.",
+        "Det kan t.ex. Anna.|| To jest inż. Nowak i m.in. Ola.",
+        "Τι κάνεις;|| Καλά είμαι.|| Ναι",
+        "Բարեւ։|| Ինչպես ես։",
+        "ሰላም።|| እንዴት ነህ፧|| ደህና",
+        "یہ کشتی ہے۔|| وہ گھر ہے۔",
+        "The PelMk.II broke.||So it was.",
+        "Abschreibungsgesellsch. 3 kam.|| Die Abschreibungsgesellsch. und Abschreibungsgesellsch. 5 auch.|| Ende.",
+    ],
+)
+def test_scripts_and_single_documents(case):
+    """Ordinary words that lists hold, terminators of further scripts, abbreviations of any length, a number behind a stop."""
+    test_sentences(case)
+
+
+def test_corpus_tells_names_with_marks_and_speakers(spark):
+    """A word behind a name's mark and a speaker's verb are known from the corpus, in capitals too."""
+    rows = [(i, f"We saw the Pel{'abcdefgh'[i % 8]}! depot. “Was it 3?” mumbled Fen.") for i in range(20)]
+    rows += [(90, "AT OUR OLD PELX! DEPOT. “WAS IT 4?” MUMBLED FEN. END.")]
+    ends = {}
+    for r in sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        ends.setdefault(r.doc_id, []).append(r.end_pos)
+    assert {len(v) for k, v in ends.items() if k < 90} == {2}
+    assert len(ends[90]) == 3
+
+
+def test_linear_time():
+    """Sixteen times the text takes about sixteen times as long, ambiguous stops, quotes and many words with stops included."""
+    import time
+
+    def took(n):
+        text = " ".join(f'“w{k % 7}, see art. {k}.” A.b.c. Wor{"abcdefghij"[k % 10]}d{k}x. It\'s "no. {k}" at p.m. Nobody (vgl. {k}' for k in range(n))
+        begun = time.process_time()
+        sentence_ends(text)
+        return time.process_time() - begun
+
+    took(200)
+    assert took(8_000) < 60 * min(took(500) for _ in range(3))
+
+
 def test_join_of_words(spark, small, monkeypatch):
     """More words than are broadcast: joined to the documents, with the same ends."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
