@@ -1,12 +1,16 @@
 """All pairs of similar sets by T-occurrence list merging.
 
-Equal sets become one class first. The classes are routed to the partitions of
-the tokens in their prefix, rarest first: two similar sets share one of those. A
-partition builds inverted lists over its sets, ordered by set size. For a probe
-set the lists of its tokens are merged: a similar set must occur in at least T of
-them. The longest lists are set aside for binary search; the others go through a
-heap that, whenever the front set occurs too rarely to reach T, pops what it can
-and skips each popped list by binary search to the next front.
+Equal sets become one class first. The classes are entered into the lists of the
+tokens of their prefix, rarest first: two similar sets share one of those. An entry
+holds no set, only its size, its place in the list and a signature; a list of more
+than ``BLOCK`` entries is split by the next token that two similar sets must share,
+and if that does not do, into blocks. Entries whose size, place and signature fit
+none of their list are left out, and the sets of the others are brought to
+their list. There inverted lists over the sets, ordered by set size, are merged for
+each probe set: a similar set must occur in at least T of the lists of its tokens. The
+longest lists are set aside for binary search; the others go through a heap that,
+whenever the front set occurs too rarely to reach T, pops what it can and skips each
+popped list by binary search to the next front.
 """
 
 from __future__ import annotations
@@ -17,16 +21,17 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import HotKeys, hot_keys, salted_lookup
 from weftgraph.session import materialize, ship_package
 
-#: Sets of one token partition that are merged in one task; longer ones are cut into blocks.
+#: Sets of one list that are merged in one task; longer ones are split. It does not depend on the data.
 BLOCK = 2_000
-#: At most this many tokens keep their exact frequency for the order; the rest are rarer.
+#: At most this many tokens keep their exact frequency for the order; the rest are rarer. The order only decides how long lists are.
 RANKED_TOKENS = 200_000
 
 
@@ -91,88 +96,176 @@ def merge_lists(lists: list[list[int]], need: int, start: int, end: int) -> list
     return found
 
 
-def join_block(token: int, index: list[tuple[int, list[int]]], probe: list[tuple[int, list[int]]] | None, t: Fraction) -> Iterator[tuple[int, int, int]]:
+def join_block(first: tuple[int, ...], index: list[tuple[int, int, int, list[int]]], probe: list[tuple[int, int, int, list[int]]] | None, t: Fraction) -> Iterator[tuple[int, int, int]]:
     """(class, class, common) of similar sets between ``index`` and ``probe`` (None: within ``index``).
 
-    Sets list their tokens rarest first. A pair is given only in the partition of
-    its first common token, so what stands before that token in a set is no part
-    of the lists. Sets without another of a fitting size are left out first.
+    Sets come with their size, the place of ``first[0]`` and their tokens, rarest first. A pair
+    is given only in the list of its first common tokens, so what stands before them
+    in a set is no part of the lists, and they themselves are no part either.
     """
     num, den = t.numerator, t.denominator
-    index = sorted(index, key=lambda x: (len(x[1]), x[0]))
-    sizes = [len(x[1]) for x in index]
+    index = sorted(index, key=lambda x: (x[1], x[0]))
+    sizes = [x[1] for x in index]
     within = probe is None
-    if within:
-        fits = [sizes[i] * den >= num * sizes[i + 1] for i in range(len(sizes) - 1)]
-        kept = [i for i in range(len(sizes)) if (i and fits[i - 1]) or (i < len(fits) and fits[i])]
-        index, sizes = [index[i] for i in kept], [sizes[i] for i in kept]
+    held = len(first)
     lists: dict[int, list[int]] = {}
-    for i, (_, tokens) in enumerate(index):
-        for x in tokens[tokens.index(token) :]:
+    for i, (_, _, at, tokens) in enumerate(index):
+        for x in tokens[at:]:
+            if x in first:
+                continue
             if x in lists:
                 lists[x].append(i)
             else:
                 lists[x] = [i]
-    held: dict[int, set[int]] = {}
-    for j, (name, tokens) in enumerate(index if within else probe):
-        size = len(tokens)
+    sets: dict[int, set[int]] = {}
+    for j, (name, size, at, tokens) in enumerate(index if within else probe):
         low = bisect_left(sizes, -(-num * size // den))
         high = j if within else bisect_left(sizes, size * den // num + 1)
         if low >= high:
             continue
-        need = need_overlap(size, sizes[low], t)
-        for i in merge_lists([lists[x] for x in tokens[tokens.index(token) :] if x in lists], need, low, high):
-            if i not in held:
-                held[i] = set(index[i][1])
-            other = held[i]
-            common = [x for x in tokens if x in other]
-            if len(common) >= need_overlap(size, len(other), t) and common[0] == token:
+        need = need_overlap(size, sizes[low], t) - held
+        near = range(low, high) if need < 1 else merge_lists([lists[x] for x in tokens[at:] if x in lists], need, low, high)
+        for i in near:
+            if i not in sets:
+                sets[i] = set(index[i][3])
+            common = [x for x in tokens if x in sets[i]]
+            if len(common) >= need_overlap(size, sizes[i], t) and tuple(common[:held]) == first:
                 a, b = index[i][0], name
                 yield min(a, b), max(a, b), len(common)
 
 
 def as_sets(df: DataFrame, record: str, values: str, least_size: int, least_value: int) -> DataFrame:
-    """(id, s): each record's sorted set of values, without nulls and values below ``least_value``.
+    """(id, s, k1, k2): each delivery's sorted set of values, without nulls and values below ``least_value``, and two fingerprints.
 
-    Repeated deliveries of a record count once; sets smaller than ``least_size``
-    and null arrays are left out.
+    Sets smaller than ``least_size``, empty sets and null arrays are left out.
     """
     kept = F.filter(F.col(values), lambda x: x.isNotNull() & (x >= least_value))
     rows = df.select(F.col(record).cast("bigint").alias("id"), F.array_sort(F.array_distinct(kept)).alias("s"))
-    return rows.filter((F.size("s") >= least_size) & F.col("id").isNotNull()).dropDuplicates(["id"])
+    rows = rows.filter((F.size("s") >= max(1, least_size)) & F.col("id").isNotNull())
+    return rows.select("id", "s", F.xxhash64(F.lit(1), "s").alias("k1"), F.xxhash64(F.lit(2), F.size("s"), "s").alias("k2"))
 
 
 def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, rep) of every record, (rep, s) of every different set); rep is the least id with that set.
 
     Sets are compared by two 64-bit fingerprints; the least id is combined
-    map-side, so a set that a third of all records hold makes no hot task.
+    map-side, so a set that a third of all records hold makes no hot task. A record that
+    was delivered with different sets has the one of the least fingerprints.
     """
-    key = F.concat_ws("-", F.xxhash64(F.lit(1), "s").cast("string"), F.xxhash64(F.lit(2), F.size("s"), "s").cast("string"))
-    named = materialize(sets.select("id", "s", key.alias("k")), "sets")
-    copied = named.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    tagged = salted_lookup(named, copied, "k", hot_keys(named.select("k"), "k"), ["id"], "left")
-    members = tagged.select("id", F.coalesce("first", "id").alias("rep"), "s")
-    members = materialize(members, "members")
-    return members.select("id", "rep"), members.filter("id = rep").select("rep", "s")
+    named = materialize(sets, "sets")
+    chosen = named.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
+    chosen = materialize(chosen, "chosen")
+    reps = chosen.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    tagged = salted_lookup(chosen, reps.withColumnRenamed("k2", "_k2"), "k1", hot_keys(chosen.select("k1"), "k1"), ["id"])
+    members = materialize(tagged.filter("k2 = _k2").select("id", "rep"), "members")
+    classes = named.groupBy("k1", "k2").agg(F.first("s").alias("s")).join(reps, ["k1", "k2"]).select("rep", "s")
+    return members, classes
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token."""
+    h = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
 
 def ordered_sets(classes: DataFrame, t: Fraction) -> DataFrame:
-    """(rep, s, prefix): tokens in global order, rarest first, and how many of them make the prefix.
+    """(rep, s, n, prefix, low, high): tokens in global order, rarest first, how many make the prefix, and a 128-bit signature.
 
     The exact frequencies of at most ``RANKED_TOKENS`` tokens are broadcast: the
     most frequent ones, found by a limit on the count that so many cannot exceed.
-    All other tokens are rarer; they come first, by hash.
+    All other tokens are rarer; they come first, by hash. A map: no set is shuffled.
     """
+    spark = classes.sparkSession
     tokens = classes.select(F.explode("s").alias("x"))
     total = classes.agg(F.sum(F.size("s"))).first()[0] or 0
     floor = max(2, total // RANKED_TOKENS)
-    ranked = F.broadcast(tokens.groupBy("x").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") > floor))
-    flat = classes.select("rep", F.explode("s").alias("x")).join(ranked, "x", "left")
-    order = F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.xxhash64("x").alias("h"), F.col("x"))
-    rows = flat.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(order)), lambda z: z["x"]).alias("s"))
-    rows = rows.withColumn("need", F.expr(f"(cast(size(s) as bigint) * {t.numerator} + {t.denominator - 1}) div {t.denominator}"))
-    return rows.select("rep", "s", (F.size("s") - F.col("need") + 1).cast("int").alias("prefix"))
+    ranked = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") > floor).toArrow().sort_by("x")
+    shipped = spark.sparkContext.broadcast((ranked.column("x").to_numpy(), ranked.column("f").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shipped.value
+        for batch in batches:
+            column = batch.column(1)
+            starts = column.offsets.to_numpy()
+            flat = column.values.to_numpy()[starts[0] : starts[-1]]
+            starts = starts - starts[0]
+            sizes = np.diff(starts).astype(np.int64)
+            h = mixed(flat)
+            f = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                f = np.where(known[at] == flat, counts[at], 0)
+            order = np.lexsort((flat, h, f, np.repeat(np.arange(len(sizes)), sizes)))
+            bit = h >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            signs = [np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)) if lower else np.where(bit < 64, np.uint64(0), one), starts[:-1]) if len(sizes) else np.empty(0, np.uint64) for lower in (True, False)]
+            prefix = sizes - -(-sizes * t.numerator // t.denominator) + 1
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat[order], pa.int64())), pa.array(sizes.astype(np.int32)), pa.array(prefix.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in signs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "s", "n", "prefix", "low", "high"])
+
+    ship_package(spark)
+    return classes.mapInArrow(run, "rep bigint, s array<bigint>, n int, prefix int, low bigint, high bigint")
+
+
+def list_entries(ordered: DataFrame, t: Fraction, block: int) -> DataFrame:
+    """(token, second, i, j, own, rep, n, at, last, low, high): the lists' entries, each list of at most about ``block``.
+
+    ``at`` is the place of ``token`` in the set, ``last`` that of ``second``, which in
+    lists that were not split is ``token`` itself. A list is split by the second common
+    token: if two sets need two common tokens at least, they share a second one within
+    one more token than their prefixes. What is still too long is cut into blocks, of which a set
+    joins its own with every other.
+    """
+    held = ["rep", "n", "low", "high"]
+    entries = ordered.select(*held, F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    long = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block), "long_lists")
+    flat = entries.withColumn("second", F.col("token")).withColumn("last", F.col("at"))
+    rest = None
+    if not long.isEmpty():
+        flat = flat.join(long, "token", "left_anti")
+        rest = ordered.select(*held, "prefix", "s", F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token")).join(long, "token")
+        # sets that need but one common token cannot be split by a second one
+        one, more = (F.col("n") * t.numerator <= t.denominator), (F.col("n") * t.numerator > t.denominator)
+        if rest.filter(one).isEmpty():
+            second = F.posexplode(F.slice("s", F.col("at") + 2, F.col("prefix") - F.col("at"))).alias("gap", "second")
+            rest = rest.filter(more).select(*held, "at", "token", second).withColumn("last", F.col("at") + 1 + F.col("gap")).drop("gap")
+            sizes = materialize(rest.groupBy("token", "second").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block), "long_lists")
+            rest = rest.join(sizes, ["token", "second"], "left")
+        else:
+            rest = rest.withColumn("second", F.col("token")).withColumn("last", F.col("at")).drop("prefix", "s")
+        # blocks of a list that is still long: a set joins its own block with every block, once each
+        rest = rest.withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
+        rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    names = ["token", "second", "i", "j", "own", "rep", "n", "at", "last", "low", "high"]
+    flat = flat.withColumns({c: F.lit(0) for c in ("i", "j", "own")}).select(names)
+    return flat if rest is None else flat.unionByName(rest.select(names))
+
+
+def with_partners(entries: DataFrame, t: Fraction) -> DataFrame:
+    """The entries that some other one of their list fits by size, place and signature; pairs are not formed.
+
+    Two sets have at most as many common tokens as follow their first common one in
+    either, and at most half of what their sizes leave beyond the bits in which their
+    signatures differ.
+    """
+    num, den = t.numerator, t.denominator
+    other = entries.select(*[F.col(c).alias(f"_{c}") for c in entries.columns])
+
+    def of(c: str) -> tuple[Column, Column]:
+        return F.col(c), F.col(f"_{c}")
+
+    (n, m), (p, q), (own, their) = of("n"), of("last"), of("own")
+    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("_high")))
+    both = (n + m).cast("bigint")
+    led = F.when(F.col("token") == F.col("second"), 0).otherwise(1)
+    fits = (F.least(n, m) * den >= F.greatest(n, m) * num) & ((led + F.least(n - p, m - q)) * (den + num) >= both * num) & ((both - differ) * (den + num) >= both * (2 * num))
+    apart = (F.col("rep") != F.col("_rep")) & ((F.col("i") == F.col("j")) | (own != their))
+    same = [F.col(c) == F.col(f"_{c}") for c in ("token", "second", "i", "j")]
+    return entries.join(other, [*same, fits & apart], "left_semi")
 
 
 def similar_classes(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -180,17 +273,10 @@ def similar_classes(classes: DataFrame, threshold: float, block: int = BLOCK) ->
     spark = classes.sparkSession
     t = Fraction(str(threshold))
     ordered = materialize(ordered_sets(classes, t), "ordered_sets")
-    routed = ordered.select("rep", "s", F.explode(F.slice("s", 1, F.col("prefix"))).alias("token"))
-    sizes = hot_keys(routed.select("token"), "token", least=block)
-    rows = routed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("own", F.lit(0))
-    if sizes.counts:
-        # blocks of a long list: a set joins its own block with every block, once each
-        cut = F.broadcast(spark.createDataFrame([(k, -(-n // block)) for k, n in sizes.counts.items()], "token bigint, blocks int"))
-        rows = routed.join(cut, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.select("token", "i", "j", "own", "rep", "s").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    entries = with_partners(list_entries(ordered, t, block), t)
+    rows = entries.select("token", "second", "i", "j", "own", "rep", "n", "at").join(ordered.select("rep", "s"), "rep")
+    rows = rows.select("token", "second", "i", "j", "own", "rep", "n", "at", "s")
+    rows = rows.repartition("token", "second", "i", "j").sortWithinPartitions("token", "second", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
@@ -201,32 +287,32 @@ def similar_classes(classes: DataFrame, threshold: float, block: int = BLOCK) ->
         def flush() -> None:
             if key is None:
                 return
-            if key[1] == key[2]:
+            first = key[:1] if key[0] == key[1] else key[:2]
+            if key[2] == key[3]:
                 if len(index) > 1:
-                    out.extend(join_block(key[0], index, None, t))
+                    out.extend(join_block(first, index, None, t))
             elif index and probe:
-                out.extend(join_block(key[0], index, probe, t))
+                out.extend(join_block(first, index, probe, t))
 
         def batch() -> pa.RecordBatch:
             columns = zip(*out) if out else ([], [], [])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep_1", "rep_2", "common"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in range(5)]
-            starts = b.column(5).offsets.to_pylist()
-            tokens = b.column(5).values.to_pylist()
-            for k, (token, i, j, own, rep) in enumerate(zip(*cols)):
-                if (token, i, j) != key:
+            cols = [b.column(c).to_pylist() for c in range(8)]
+            starts = b.column(8).offsets.to_pylist()
+            tokens = b.column(8).values.to_pylist()
+            for k, (token, second, i, j, own, rep, n, at) in enumerate(zip(*cols)):
+                if (token, second, i, j) != key:
                     flush()
-                    key, index, probe = (token, i, j), [], []
-                (index if own == i else probe).append((rep, tokens[starts[k] : starts[k + 1]]))
+                    key, index, probe = (token, second, i, j), [], []
+                (index if own == i else probe).append((rep, n, at, tokens[starts[k] : starts[k + 1]]))
             if len(out) > 50_000:
                 yield batch()
                 out.clear()
         flush()
         yield batch()
 
-    ship_package(spark)
     return rows.mapInArrow(run, "rep_1 bigint, rep_2 bigint, common bigint")
 
 
@@ -235,7 +321,8 @@ def similar_pairs(df: DataFrame, record: str, values: str, threshold: float, lea
 
     Records with a null array, a null id or fewer than ``least_size`` values take
     no part; nulls, repeats and values below ``least_value`` are no part of a set;
-    a record delivered twice counts once. The smaller id comes first. Records with
+    a record delivered twice counts once (of different sets, that of the least
+    fingerprint). The smaller id comes first. Records with
     equal sets are pairs as well: they are found as one class and expanded at the
     end. An empty table gives no rows; other columns of ``df`` are ignored.
     """
@@ -255,7 +342,7 @@ def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     own = members.select(F.col("id").alias("id_1"), "rep")
     again = members.select(F.col("id").alias("id_2"), "rep")
     same = salted_lookup(own, again, "rep", spread, ["id_1"]).filter("id_1 < id_2").select("id_1", "id_2")
-    left = own.withColumnRenamed("rep", "rep_1").join(pairs, "rep_1").withColumnRenamed("rep_2", "rep")
+    left = salted_lookup(own.withColumnRenamed("rep", "rep_1"), pairs, "rep_1", spread, ["id_1"]).withColumnRenamed("rep_2", "rep")
     across = salted_lookup(left, again, "rep", spread, ["id_1"])
     return same.unionByName(across.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2")))
 
@@ -271,6 +358,6 @@ def similarity_links(df: DataFrame, record: str, values: str, threshold: float,
     pairs = materialize(similar_classes(classes, threshold).select("rep_1", "rep_2"), "class_pairs")
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     both = pairs.unionByName(pairs.select(F.col("rep_2").alias("rep_1"), F.col("rep_1").alias("rep_2")))
-    near = both.join(sizes.withColumnRenamed("rep", "rep_2"), "rep_2").groupBy("rep_1").agg(F.sum("n").alias("near"))
+    near = salted_lookup(both, sizes.withColumnRenamed("rep", "rep_2"), "rep_2", hot_keys(both.select("rep_2"), "rep_2"), ["rep_1"]).groupBy("rep_1").agg(F.sum("n").alias("near"))
     linked = sizes.join(near.withColumnRenamed("rep_1", "rep"), "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     return salted_lookup(members, linked, "rep", hot_keys(members, "rep"), ["id"]).select("id", "rep", "links")
