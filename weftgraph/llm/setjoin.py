@@ -23,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,8 +171,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def ordered_sets(classes: DataFrame, t: Fraction) -> DataFrame:
-    """(rep, s, n, prefix, low, high): tokens in global order, rarest first, how many make the prefix, and a 128-bit signature.
+def ordered_sets(classes: DataFrame, t: Fraction, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, s, n, prefix, low, high): tokens in global order, rarest first, how many make the prefix, and a 128-bit signature;
+    and the tokens (token) that more than ``block`` sets hold, None if they are not all known.
 
     The exact frequencies of at most ``RANKED_TOKENS`` tokens are broadcast: the
     most frequent ones, found by a limit on the count that so many cannot exceed.
@@ -206,10 +208,12 @@ def ordered_sets(classes: DataFrame, t: Fraction) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "s", "n", "prefix", "low", "high"])
 
     ship_package(spark)
-    return classes.mapInArrow(run, "rep bigint, s array<bigint>, n int, prefix int, low bigint, high bigint")
+    ordered = classes.mapInArrow(run, "rep bigint, s array<bigint>, n int, prefix int, low bigint, high bigint")
+    frequent = ranked.filter(pc.field("f") > block).column("x").to_pylist()
+    return ordered, spark.createDataFrame([(x,) for x in frequent], "token bigint") if floor <= block else None
 
 
-def list_entries(ordered: DataFrame, t: Fraction, block: int) -> DataFrame:
+def list_entries(ordered: DataFrame, frequent: DataFrame | None, t: Fraction, block: int) -> DataFrame:
     """(token, second, i, j, own, rep, n, at, last, low, high): the lists' entries, each list of at most about ``block``.
 
     ``at`` is the place of ``token`` in the set, ``last`` that of ``second``, which in
@@ -220,10 +224,13 @@ def list_entries(ordered: DataFrame, t: Fraction, block: int) -> DataFrame:
     """
     held = ["rep", "n", "low", "high"]
     entries = ordered.select(*held, F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token"))
-    long = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block), "long_lists")
+    listed = entries.select("token") if frequent is None else entries.select("token").join(frequent, "token", "left_semi")
+    long = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)
+    if frequent is None or not frequent.isEmpty():
+        long = materialize(long, "long_lists")
     flat = entries.withColumn("second", F.col("token")).withColumn("last", F.col("at"))
     rest = None
-    if not long.isEmpty():
+    if (frequent is None or not frequent.isEmpty()) and not long.isEmpty():
         flat = flat.join(long, "token", "left_anti")
         rest = ordered.select(*held, "prefix", "s", F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token")).join(long, "token")
         # sets that need but one common token cannot be split by a second one
@@ -258,12 +265,12 @@ def with_partners(entries: DataFrame, t: Fraction) -> DataFrame:
     def of(c: str) -> tuple[Column, Column]:
         return F.col(c), F.col(f"_{c}")
 
-    (n, m), (p, q), (own, their) = of("n"), of("last"), of("own")
-    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("_high")))
+    (n, m), (p, q) = of("n"), of("last")
+    differ = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in (of("low"), of("high")))
     both = (n + m).cast("bigint")
     led = F.when(F.col("token") == F.col("second"), 0).otherwise(1)
     fits = (F.least(n, m) * den >= F.greatest(n, m) * num) & ((led + F.least(n - p, m - q)) * (den + num) >= both * num) & ((both - differ) * (den + num) >= both * (2 * num))
-    apart = (F.col("rep") != F.col("_rep")) & ((F.col("i") == F.col("j")) | (own != their))
+    apart = (F.col("rep") != F.col("_rep")) & ((F.col("i") == F.col("j")) | (F.col("own") != F.col("_own")))
     same = [F.col(c) == F.col(f"_{c}") for c in ("token", "second", "i", "j")]
     return entries.join(other, [*same, fits & apart], "left_semi")
 
@@ -272,8 +279,9 @@ def similar_classes(classes: DataFrame, threshold: float, block: int = BLOCK) ->
     """(rep_1, rep_2, common): pairs of different sets with a Jaccard similarity of at least ``threshold``."""
     spark = classes.sparkSession
     t = Fraction(str(threshold))
-    ordered = materialize(ordered_sets(classes, t), "ordered_sets")
-    entries = with_partners(list_entries(ordered, t, block), t)
+    ordered, frequent = ordered_sets(classes, t, block)
+    ordered = materialize(ordered, "ordered_sets")
+    entries = with_partners(list_entries(ordered, frequent, t, block), t)
     rows = entries.select("token", "second", "i", "j", "own", "rep", "n", "at").join(ordered.select("rep", "s"), "rep")
     rows = rows.select("token", "second", "i", "j", "own", "rep", "n", "at", "s")
     rows = rows.repartition("token", "second", "i", "j").sortWithinPartitions("token", "second", "i", "j")
