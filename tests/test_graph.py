@@ -64,10 +64,10 @@ def test_queries_over_all_egos_and_edges(spark, tmp_path):
     parts = [(p, "x", "y", 1) for p in (900, 901, 902, 903, 904)]
     spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    assert {r.ego for r in run("triple_freqs_all")} == {900, 901} and len(run("csv_sinks_all")) == 2
-    assert [(r.component, r.size) for r in run("component_sizes_all")] == [(900, 4)]
-    assert {r.id: r.label for r in run("min_label_all")} == {900: 900, 901: 900, 902: 900, 903: 900, 904: 904}
-    assert {r.vertex: r.level1 for r in run("multi_bfs_all")} == {900: 3, 901: 3, 902: 3, 903: 3, 904: 0}
+    assert {r.ego for r in run("triple_freqs")} == {900, 901} and len(run("csv_sinks")) == 2
+    assert [(r.component, r.size) for r in run("component_sizes")] == [(900, 4)]
+    assert {r.id: r.label for r in run("min_label_program")} == {900: 900, 901: 900, 902: 900, 903: 900, 904: 904}
+    assert {r.vertex: r.level1 for r in run("multi_bfs_hist")} == {900: 3, 901: 3, 902: 3, 903: 3, 904: 0}
 
 
 def test_batches_of_hot_keys(spark):

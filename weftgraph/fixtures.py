@@ -13,9 +13,13 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def edge_table(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, etype, edge_id, weight, ts): the usable edges of the sweeps, each delivery once."""
+    """(src, dst, etype, edge_id, weight, ts): the usable edges of the sweeps, each once.
+
+    Deliveries of an edge differ in ``ingested_at`` only, so equal rows are one edge; as
+    all columns are grouping keys, filters on them reach the scan.
+    """
     rows = usable_edges(table(spark, path, "result_edge"))
-    return rows.select("src", "dst", "etype", F.col("data_ptr").alias("edge_id"), "weight", "ts").dropDuplicates(["edge_id"])
+    return rows.select("src", "dst", "etype", F.col("data_ptr").alias("edge_id"), "weight", "ts").distinct()
 
 
 def vertex_table(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +44,6 @@ def part_vertices(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
 
 
-def sparse_part_edges(spark: SparkSession, path: str) -> DataFrame:
-    """The part edges of weight 1 or less: many components."""
-    return part_edges(spark, path).filter("weight <= 1")
-
-
 def ratings(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, rating): customers, offset as users, and the parts they ordered."""
     orders = table(spark, path, "orders").select("o_orderkey", (F.col("o_custkey") + 200_000).alias("src"))

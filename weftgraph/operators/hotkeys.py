@@ -17,6 +17,8 @@ from weftgraph.operators.edges import usable_edges
 from weftgraph.operators.skew import HotKeys, hot_keys
 from weftgraph.session import materialize, micros
 
+#: Keys of no more rows are never cut.
+LEAST = 1_000
 #: A histogram level has at most about 2 to this power bins, all open ranks together.
 LEVEL_BINS = 22
 
@@ -102,7 +104,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.col(value).cast("bigint").alias("_v")).filter("_v is not null and _key is not null")
     kind = dict(rows.dtypes)["_key"]
-    hot = hot or hot_keys(rows, "_key", [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")])
+    hot = hot or hot_keys(rows, "_key", [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")], LEAST)
     names = [f"q{i}" for i in range(len(probs))]
     cold = rows
     if hot.rows:
@@ -117,7 +119,8 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot
         bounds = {(r["_key"],): (r["_lo"], r["_hi"]) for r in hot.rows}
         count = {(r["_key"],): r["_n"] for r in hot.rows}
         want = {k: [quantile_rank(n, q) for q in probs] for k, n in count.items()}
-        got = {(x.key, x.rank): x.value for x in select_ranks(rows, ["_key"], "_v", bounds, want)}
+        held = materialize(rows.join(F.broadcast(hot.table(spark, "_key", kind)), "_key", "left_semi"), "hot_values")
+        got = {(x.key, x.rank): x.value for x in select_ranks(held, ["_key"], "_v", bounds, want)}
         exact = [(k[0], n, *[got[(k, quantile_rank(n, q))] for q in probs]) for k, n in count.items()]
         schema = f"_key {kind}, n bigint, " + ", ".join(f"{c} bigint" for c in names)
         out = out.unionByName(spark.createDataFrame(exact, schema))
@@ -134,10 +137,11 @@ def _bucket_of(splits: str, most: int, value):
     )
 
 
-def ordered_buckets(df: DataFrame, key: str, first: str, second: str, least: int = 50_000) -> tuple[DataFrame, bool]:
+def ordered_buckets(df: DataFrame, key: str, first: str, second: str, least: int = LEAST) -> tuple[DataFrame, bool]:
     """``df`` with ``_bucket``: equal key ranges in the order (``first``, ``second``), each of bounded size.
 
-    Keys below the limit keep bucket 0. A hot key is cut at exact ranks, one per
+    Keys below the limit keep one bucket: -1 if any key is cut, else 0. The hot keys' values
+    are written once, for all levels of the selection. A hot key is cut at exact ranks, one per
     ``limit`` rows; where more than ``limit`` rows share one ``first`` value, the
     cut goes on within it by ``second``. Buckets of a key increase with the order.
     Also tells whether any key was cut. Both columns are BIGINT without nulls.
@@ -151,14 +155,16 @@ def ordered_buckets(df: DataFrame, key: str, first: str, second: str, least: int
     cuts: dict[tuple, set[tuple[int, int]]] = {}
     heavy: dict[tuple, list[int]] = {}
     least_id = -(1 << 63)
-    for x in select_ranks(df, [key], first, bounds, wanted):
+    held = df.join(F.broadcast(hot.table(spark, key, dict(df.dtypes)[key])), key, "left_semi").select(key, first, second)
+    held = materialize(held, "hot_values")
+    for x in select_ranks(held, [key], first, bounds, wanted):
         cuts.setdefault(x.key, set()).add((x.value, least_id))
         if x.equal > hot.limit:
             heavy.setdefault((*x.key, x.value), []).append(x.rank - x.less)
     if heavy:
         kinds = dict(df.dtypes)
         table = spark.createDataFrame(list(heavy), f"`{key}` {kinds[key]}, `{first}` {kinds[first]}")
-        tied = df.join(F.broadcast(table), [key, first], "left_semi")
+        tied = held.join(F.broadcast(table), [key, first], "left_semi")
         ends = tied.groupBy(key, first).agg(F.min(second).alias("_lo"), F.max(second).alias("_hi")).collect()
         tie_bounds = {(r[key], r[first]): (r["_lo"], r["_hi"]) for r in ends}
         for x in select_ranks(tied, [key, first], second, tie_bounds, heavy):
@@ -170,10 +176,10 @@ def ordered_buckets(df: DataFrame, key: str, first: str, second: str, least: int
     )
     here = F.struct(F.col(first).cast("bigint").alias("a"), F.col(second).cast("bigint").alias("b"))
     cut = df.join(F.broadcast(table), key, "left")
-    return cut.withColumn("_bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(_bucket_of("_cuts", most, here))).drop("_cuts"), True
+    return cut.withColumn("_bucket", F.when(F.col("_cuts").isNull(), -1).otherwise(_bucket_of("_cuts", most, here))).drop("_cuts"), True
 
 
-def immediate_repeats(edges: DataFrame, within_seconds: int = 60, least: int = 50_000) -> DataFrame:
+def immediate_repeats(edges: DataFrame, within_seconds: int = 60, least: int = LEAST) -> DataFrame:
     """(data_ptr_1, data_ptr_2): neighbours in a src's time order with the same dst and close times.
 
     Usable edges with a non-null ``ts`` are ordered by (ts, data_ptr) within each
@@ -197,8 +203,9 @@ def immediate_repeats(edges: DataFrame, within_seconds: int = 60, least: int = 5
     near = (F.col("p_dst") == F.col("dst")) & (F.col("us") - F.col("p_us") <= within_seconds * 1_000_000)
     if any_cut:
         # one pass writes the pairs inside buckets and the two ends of each bucket; then the ends are compared
-        kept = materialize(prev.filter(near | F.col("p_ptr").isNull() | F.col("tail")), "repeats")
-        ends = kept.filter(F.col("p_ptr").isNull() | F.col("tail"))
+        at_end = (F.col("_bucket") >= 0) & (F.col("p_ptr").isNull() | F.col("tail"))
+        kept = materialize(prev.filter(near | at_end), "repeats")
+        ends = kept.filter(at_end)
         line = Window.partitionBy("src").orderBy("us", "data_ptr")
         borders = ends.select(
             "src", "_bucket", "data_ptr", "dst", "us", F.col("p_ptr").alias("in_ptr"),

@@ -6,9 +6,15 @@ scan; results keep only the columns they name. Null ends or types never match.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.skew import HotKeys, hot_keys, salted_lookup
+
 #: Lists of ids up to this length become literals of the filter, longer ones a semi-join.
 MOST_LITERALS = 1_000
 
@@ -82,6 +88,26 @@ def fold(vertices: DataFrame, **aggs: Column) -> DataFrame:
     return vertices.agg(*[a.alias(n) for n, a in aggs.items()])
 
 
+def fold_values(vertices: DataFrame, column: str, zero: Any, step: Callable[[Any, Any], Any], merge: Callable[[Any, Any], Any]) -> Any:
+    """Any fold over the non-null values of a column.
+
+    Tasks fold their rows with ``step`` from ``zero``; the driver folds one result
+    a task with ``merge``, so the outcome is fixed if order and grouping do not matter.
+    """
+    import pickle
+
+    import pyarrow as pa
+
+    def run(batches):
+        state = zero
+        for batch in batches:
+            state = reduce(step, batch.column(0).drop_null().to_pylist(), state)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], names=["state"])
+
+    parts = vertices.select(column).mapInArrow(run, "state binary").collect()
+    return reduce(merge, (pickle.loads(bytes(r["state"])) for r in parts), zero)
+
+
 def find_edge(edges: DataFrame, src: int, dst: int, etype: int | None) -> DataFrame:
     """The newest edge between two vertices: that of the greatest ``edge_id``; no row if there is none."""
     rows = edges.filter((F.col("src") == src) & (F.col("dst") == dst))
@@ -95,6 +121,13 @@ def by_pointer(edges: DataFrame, pointers, *columns: str) -> DataFrame:
     return among(edges, "edge_id", pointers).select("edge_id", *columns)
 
 
+def set_by_pointer(edges: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The table with ``column`` set for the edges that ``values`` (edge_id, value) names; other pointers are ignored."""
+    new = values.select("edge_id", F.col("value").cast(dict(edges.dtypes)[column]).alias("_new"), F.lit(True).alias("_hit"))
+    joined = edges.join(new, "edge_id", "left")
+    return joined.withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).select(*edges.columns)
+
+
 def degrees(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, in_degree, out_degree, degree) of all types together, by one aggregation.
 
@@ -133,11 +166,6 @@ def query_in(edges: DataFrame, ids, etype: int | None) -> DataFrame:
     return rows.select(F.col("dst").alias("query_id"), F.col("src").alias("neighbor_id"), "etype", "edge_id")
 
 
-def grouped(result: DataFrame) -> DataFrame:
-    """A neighbour query's answers, one row per query with a sorted array: the batched form of delivery."""
-    return result.groupBy("query_id").agg(F.sort_array(F.collect_list("neighbor_id")).alias("neighbors"))
-
-
 def batches(result: DataFrame, most: int = 1_000, width: int = 1_024) -> DataFrame:
     """(query_id, block, part, neighbors): a neighbour query's answers in sorted arrays of at most ``most``.
 
@@ -157,14 +185,19 @@ def first_n(result: DataFrame, n: int) -> DataFrame:
     return result.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
+def _known(df: DataFrame, column: str) -> Column:
+    """A column's value; a NaN is no value and becomes null, so that equal rows are equal to every reader."""
+    return (F.nanvl(column, F.lit(None)) if dict(df.dtypes)[column] in ("float", "double") else F.col(column)).alias(column)
+
+
 def join_edge_columns(result: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
-    """(neighbor_id, columns) of a neighbour query, as a set: equal rows come once."""
+    """(neighbor_id, columns) of a neighbour query, as a set: equal rows come once; a NaN comes as null."""
     lacking = [c for c in columns if c not in edges.columns]
     if lacking:
         raise ValueError(f"not edge columns: {lacking}")
     if "edge_id" not in result.columns:
         raise ValueError("edge columns join results that are indexed by edge")
-    return result.join(edges.select("edge_id", *columns), "edge_id").select("neighbor_id", *columns).distinct()
+    return result.join(edges.select("edge_id", *[_known(edges, c) for c in columns]), "edge_id").select("neighbor_id", *columns).distinct()
 
 
 def join_vertex_columns(result: DataFrame, vertices: DataFrame, *columns: str) -> DataFrame:
@@ -175,10 +208,17 @@ def join_vertex_columns(result: DataFrame, vertices: DataFrame, *columns: str) -
     return result.select(F.col("neighbor_id").alias("id")).distinct().join(vertices.select("id", *columns), "id")
 
 
-def sweep_in_join(edges: DataFrame, vertices: DataFrame, first: int, last: int, vertex_columns: list[str], edge_columns: list[str] = ()) -> DataFrame:
-    """In-edges of a range of dst, each with columns of its src vertex and of its own."""
-    rows = edges.filter(F.col("dst").between(first, last)).select("src", "dst", "etype", *edge_columns)
-    return rows.join(vertices.select(F.col("id").alias("src"), *vertex_columns), "src").select("src", "dst", "etype", *vertex_columns, *edge_columns)
+def sweep_in_join(
+    edges: DataFrame, vertices: DataFrame, first: int, last: int, vertex_columns: list[str], edge_columns: list[str] = (), hot: HotKeys | None = None
+) -> DataFrame:
+    """In-edges of a range of dst, each with columns of its src vertex and of its own; a NaN comes as null.
+
+    Edges whose src has no vertex are left out. Hot sources, counted first if they are not given, are spread over salts.
+    """
+    rows = edges.filter(F.col("dst").between(first, last)).select("src", "dst", "etype", *[_known(edges, c) for c in edge_columns])
+    own = vertices.select(F.col("id").alias("src"), *[_known(vertices, c) for c in vertex_columns])
+    hot = hot if hot is not None else hot_keys(rows.select("src"), "src")
+    return salted_lookup(rows, own, "src", hot, ["dst"]).select("src", "dst", "etype", *vertex_columns, *edge_columns)
 
 
 def map_out(edges: DataFrame, ids, etype: int | None, value: Column, name: str = "value") -> DataFrame:

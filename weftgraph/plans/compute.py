@@ -7,17 +7,53 @@ from abc import ABC, abstractmethod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.lookup import id_frame
 from weftgraph.operators.skew import HotKeys, hot_keys, salted_lookup
 from weftgraph.plans.traversal import symmetric
 from weftgraph.session import materialize
 
 
+class Scheduler:
+    """Which vertices take part in the next round, beside those a program's ``changed`` names."""
+
+    def __init__(self) -> None:
+        self._ids: list = []
+        self._all = False
+
+    def add_task(self, vertex: int) -> None:
+        self._ids.append([vertex])
+
+    def add_tasks(self, ids) -> None:
+        """Many vertices: a collection of ids or a frame with ``id``."""
+        self._ids.append(ids)
+
+    def add_task_to_all(self) -> None:
+        self._all = True
+
+    def has_new_tasks(self) -> bool:
+        return self._all or bool(self._ids)
+
+    def take(self, state: DataFrame) -> DataFrame:
+        """The state with the scheduled vertices active; the schedule is empty then."""
+        if self._all:
+            state = state.withColumn("_active", F.lit(True))
+        for ids in self._ids if not self._all else []:
+            frame = ids.select("id").distinct() if isinstance(ids, DataFrame) else id_frame(state.sparkSession, ids)
+            marked = state.join(frame.withColumn("_more", F.lit(True)), "id", "left")
+            state = marked.withColumn("_active", F.col("_active") | F.coalesce("_more", F.lit(False))).drop("_more")
+        self._ids, self._all = [], False
+        return state
+
+
 class VertexProgram(ABC):
     """What a vertex program says: its start state, its messages, how they combine, and the new state.
 
     State columns are those of ``init``. Messages go along edges from src to dst;
     expressions may use the columns of the src vertex and of the edge. ``changed``
-    names the vertices that send in the next round (selective scheduling).
+    names the vertices that send in the next round (selective scheduling); the hooks may
+    schedule more. ``set_out_edges`` and ``set_in_edges`` give new values of edge columns, over the
+    edge and the new state of its src or dst; active vertices alone write, and the next round's
+    messages read what they wrote.
     """
 
     both_ways = False
@@ -38,29 +74,56 @@ class VertexProgram(ABC):
         """Over the old state (``old_`` names) and the new one; None: all vertices stay active."""
         return None
 
-    def before_iteration(self, i: int) -> None: ...
+    def set_out_edges(self) -> dict[str, Column]:
+        return {}
+
+    def set_in_edges(self) -> dict[str, Column]:
+        return {}
+
+    def before_iteration(self, i: int, scheduler: Scheduler) -> None: ...
 
-    def after_iteration(self, i: int) -> None: ...
+    def after_iteration(self, i: int, scheduler: Scheduler) -> None: ...
 
 
-def run_program(program: VertexProgram, vertices: DataFrame, edges: DataFrame, iterations: int, least: int = 50_000) -> DataFrame:
-    """(id, state): the state after ``iterations`` rounds, or once no vertex is active.
+def _write_edges(program: VertexProgram, edges: DataFrame, state: DataFrame, hot: dict[str, HotKeys]) -> DataFrame:
+    """The edges with the values that the active vertices gave them: as their src first, then as their dst."""
+    for end, values in (("src", program.set_out_edges()), ("dst", program.set_in_edges())):
+        if values:
+            own = state.filter("_active").drop("_active").withColumnRenamed("id", end).withColumn("_writes", F.lit(True))
+            held = salted_lookup(edges, own, end, hot[end], ["dst" if end == "src" else "src"], "left")
+            edges = held.withColumns({c: F.when(F.col("_writes"), v).otherwise(F.col(c)) for c, v in values.items()}).select(*edges.columns)
+    return edges
+
+
+def run_with_edges(program: VertexProgram, vertices: DataFrame, edges: DataFrame, iterations: int, least: int = 50_000, scheduler: Scheduler | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, state), edges): state and edge values after ``iterations`` rounds, or once no vertex is active.
 
     A round is one join of the active vertices with their edges, one map-side
     combined aggregation by dst and one join back. Hub vertices are spread over
-    salts. Each round's state is written to the shared scratch folder.
+    salts. Each round's state, and the edges if the program writes any, are written to the shared scratch folder.
     """
+    scheduler = scheduler or Scheduler()
     columns = program.init()
     state = vertices.select("id", *[c.alias(n) for n, c in columns.items()], F.lit(True).alias("_active"))
     state = materialize(state, "state")
-    links = edges
-    if program.both_ways:
-        back = edges.withColumn("_s", F.col("dst")).withColumn("dst", F.col("src")).withColumn("src", F.col("_s")).drop("_s")
-        links = edges.unionByName(back)
-    links = materialize(links, "links")
+    edges = materialize(edges, "edges")
+    writes = bool(program.set_out_edges() or program.set_in_edges())
+
+    def both(rows: DataFrame) -> DataFrame:
+        if not program.both_ways:
+            return rows
+        back = rows.withColumn("_s", F.col("dst")).withColumn("dst", F.col("src")).withColumn("src", F.col("_s")).drop("_s")
+        return rows.unionByName(back)
+
+    links = both(edges) if writes else materialize(both(edges), "links")
     hot = hot_keys(links.select("src"), "src", least=least)
+    ends = {end: hot_keys(edges.select(end), end, least=least) for end in ("src", "dst")} if writes else {}
+    if writes:
+        edges = materialize(_write_edges(program, edges, state, ends), "edges")
+        links = both(edges)
     for i in range(iterations):
-        program.before_iteration(i)
+        program.before_iteration(i, scheduler)
+        state = scheduler.take(state)
         active = state.filter("_active").drop("_active").withColumnRenamed("id", "src")
         sent = salted_lookup(links, active, "src", hot, ["dst"]).select(F.col("dst").alias("id"), *[c.alias(n) for n, c in program.message().items()])
         inbox = sent.groupBy("id").agg(*[c.alias(n) for n, c in program.combine().items()])
@@ -69,10 +132,18 @@ def run_program(program: VertexProgram, vertices: DataFrame, edges: DataFrame, i
         rule = program.changed()
         active_now = F.lit(True) if rule is None else F.coalesce(rule, F.lit(False))
         state = materialize(new.select("id", *columns, active_now.alias("_active")), f"state{i}")
-        program.after_iteration(i)
-        if rule is not None and state.filter("_active").isEmpty():
+        if writes:
+            edges = materialize(_write_edges(program, edges, state, ends), "edges")
+            links = both(edges)
+        program.after_iteration(i, scheduler)
+        if rule is not None and not scheduler.has_new_tasks() and state.filter("_active").isEmpty():
             break
-    return state.drop("_active")
+    return state.drop("_active"), edges
+
+
+def run_program(program: VertexProgram, vertices: DataFrame, edges: DataFrame, iterations: int, least: int = 50_000, scheduler: Scheduler | None = None) -> DataFrame:
+    """(id, state): the state of ``run_with_edges``."""
+    return run_with_edges(program, vertices, edges, iterations, least, scheduler)[0]
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 3, num_vertices: int | None = None, least: int = 50_000) -> DataFrame:
@@ -157,3 +228,25 @@ class ReachableMin(VertexProgram):
 
     def changed(self) -> Column:
         return F.col("label") < F.col("old_label")
+
+
+class LabelsOnEdges(ReachableMin):
+    """The same labels, sent over the edges: each vertex writes its label on its edges and reads the least one on them.
+
+    The label that is left on an edge is the component of both its ends.
+    """
+
+    def message(self) -> dict[str, Column]:
+        return {"got": F.col("edge_label")}
+
+    def set_out_edges(self) -> dict[str, Column]:
+        return {"edge_label": F.least("edge_label", "label")}
+
+    def set_in_edges(self) -> dict[str, Column]:
+        return {"edge_label": F.least("edge_label", "label")}
+
+
+def label_edges(vertices: DataFrame, edges: DataFrame, iterations: int = 100) -> tuple[DataFrame, DataFrame]:
+    """((id, label), edges with ``edge_label``) of the weakly connected components by their least id."""
+    fresh = edges.withColumn("edge_label", F.lit(None).cast("bigint"))
+    return run_with_edges(LabelsOnEdges(), vertices, fresh, iterations)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.vectors import dot, random_vector
+from weftgraph.operators.sorting import rank_rows
+from weftgraph.session import materialize
 
 #: Fixed values of the factorisation: factors and regularisation per rating.
 RANK, LAMBDA = 10, 0.065
@@ -67,13 +69,18 @@ def als(ratings: DataFrame, iterations: int = 5, rank: int = RANK, regularisatio
     """((id, factor) of the src side, of the dst side), by the built-in factorisation with the same weighting."""
     from pyspark.ml.recommendation import ALS
 
-    checked = ratings.select(F.col("src").cast("int").alias("user"), F.col("dst").cast("int").alias("item"), F.col("rating").cast("float").alias("rating"))
+    # the solver takes ids of 32 bits, so the vertices of each side are numbered first
+    users, items = (materialize(rank_rows(ratings.select(F.col(side).alias("id")).filter("id is not null").distinct(), "id", "id", "number"), "numbers") for side in ("src", "dst"))
+    numbered = ratings.join(users.select(F.col("id").alias("src"), F.col("number").cast("int").alias("user")), "src")
+    numbered = numbered.join(items.select(F.col("id").alias("dst"), F.col("number").cast("int").alias("item")), "dst")
+    checked = numbered.select("user", "item", F.col("rating").cast("float").alias("rating"))
     model = ALS(rank=rank, maxIter=iterations, regParam=regularisation, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(checked)
 
-    def given(df: DataFrame) -> DataFrame:
-        return df.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("factor"))
+    def given(df: DataFrame, numbers: DataFrame) -> DataFrame:
+        named = df.select(F.col("id").cast("bigint").alias("number"), F.col("features").cast("array<double>").alias("factor"))
+        return named.join(numbers, "number").select("id", "factor")
 
-    return given(model.userFactors), given(model.itemFactors)
+    return given(model.userFactors, users), given(model.itemFactors, items)
 
 
 def predict(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

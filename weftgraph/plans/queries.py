@@ -58,9 +58,13 @@ def triple_frequencies(graphs: DataFrame) -> DataFrame:
     ends = two.select("ego", F.explode(F.array("a", "b")).alias("v"))
     degree = ends.groupBy("ego", "v").agg(F.count(F.lit(1)).alias("d"))
     basic = degree.groupBy("ego").agg(F.count(F.lit(1)).alias("n"), (F.sum("d") / 2).cast("bigint").alias("m"), F.sum((F.col("d") * (F.col("d") - 1) / 2).cast("bigint")).alias("w"))
-    bc = two.select("ego", F.col("a").alias("b"), F.col("b").alias("c"))
-    ac = two.select("ego", "a", F.col("b").alias("c"))
-    triangles = two.join(bc, ["ego", "b"]).join(ac, ["ego", "a", "c"]).groupBy("ego").agg(F.count(F.lit(1)).alias("t"))
+    # edges point to the end of the greater degree, so no vertex has more than sqrt(2m) of them and hubs make no pairs of edges
+    with_a = two.join(degree.select("ego", F.col("v").alias("a"), F.col("d").alias("da")), ["ego", "a"])
+    both = with_a.join(degree.select("ego", F.col("v").alias("b"), F.col("d").alias("db")), ["ego", "b"])
+    up = F.struct("da", "a") < F.struct("db", "b")
+    out = both.select("ego", F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+    wedges = out.join(out.select("ego", "x", F.col("y").alias("z")), ["ego", "x"]).filter("y < z").select("ego", F.col("y").alias("a"), F.col("z").alias("b"))
+    triangles = wedges.join(two, ["ego", "a", "b"]).groupBy("ego").agg(F.count(F.lit(1)).alias("t"))
     all_in = basic.join(triangles, "ego", "left").withColumn("t", F.coalesce("t", F.lit(0)))
     e2 = F.col("w") - 3 * F.col("t")
     e1 = F.col("m") * (F.col("n") - 2) - 2 * e2 - 3 * F.col("t")
@@ -99,11 +103,12 @@ def subgraph_by_titles(edges: DataFrame, dictionary: DataFrame, name: str, title
     return induced_subgraph(edges, id_frame(spark, [r["id"] for r in ids.collect()]))
 
 
-def recommend_by_factors(user: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
-    """(id, score): the items of the greatest dot product with one user's factor.
+def recommend_by_factors(factors: DataFrame, user: int, items: DataFrame, n: int = 20) -> DataFrame:
+    """(id, title, score): the ``items`` (id, title) of the greatest dot product with one user's factor.
 
-    ``user`` has one row (factor); it joins every item as a broadcast row.
+    ``factors`` (id, factor) holds users and items; items without a factor are left
+    out, those the user knows are not. The user's one row joins every item as a broadcast row.
     """
-    one = F.broadcast(user.select(F.col("factor").alias("_u")).limit(1))
-    scored = items.join(one).select("id", dot(F.col("_u"), F.col("factor")).alias("score"))
+    one = F.broadcast(factors.filter(F.col("id") == user).select(F.col("factor").alias("_u")).limit(1))
+    scored = items.select("id", "title").join(factors, "id").join(one).select("id", "title", dot(F.col("_u"), F.col("factor")).alias("score"))
     return scored.filter("score is not null").orderBy(F.desc("score"), "id").limit(n)

@@ -1,8 +1,10 @@
 """Level-synchronous traversals: breadth-first trees, shortest paths, many searches at once.
 
 The two columns of the edges that a search needs are written once. Each round
-joins the frontier with them and removes what was visited. The round's new rows are written to the shared scratch folder, so the plan of a round
-does not grow with the depth. Driver state is the number of rows per round.
+joins the frontier with them and removes what was visited. The round's new rows are
+written to the shared scratch folder; at most ``MOST_TABLES`` of these tables make the
+visited ones, so the plan of a round does not grow with the depth. Driver state is the
+number of rows per round.
 """
 
 from __future__ import annotations
@@ -68,11 +70,39 @@ def path_to(tree: DataFrame, target: int) -> list[int]:
     return path
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, etype: int | None = None, max_depth: int = 5) -> list[int]:
-    """A shortest directed path from ``source`` to ``target`` of at most ``max_depth`` edges; empty if there is none."""
+def shortest_path(edges: DataFrame, source: int, target: int, etype: int | None = None, max_depth: int = 5, reverse: bool = False) -> list[int]:
+    """A shortest directed path of at most ``max_depth`` edges, from ``source`` to ``target``, or with ``reverse`` from target to source; empty if there is none.
+
+    Both ends search at once, the one with fewer new vertices next, and meet halfway. The
+    rows of a search carry their way back, which is no longer than the path. Of several
+    shortest paths the one is given that, seen from the target, has the least vertex at each step.
+    """
     if source == target:
         return [source]
-    return path_to(bfs(edges, source, etype, max_depth, target), target)[::-1]
+    links = materialize(_of_type(edges, etype), "links")
+    spark = edges.sparkSession
+    sides = []
+    for start, near, far in ((source, "src", "dst"), (target, "dst", "src")):
+        rows = spark.createDataFrame([(start, [start])], "id bigint, way array<bigint>")
+        sides.append({"near": near, "far": far, "rows": rows, "seen": [rows.select("id")], "n": 1})
+    for _ in range(max_depth):
+        forward = sides[0]["n"] <= sides[1]["n"]
+        side = sides[0 if forward else 1]
+        steps = links.join(side["rows"].withColumnRenamed("id", side["near"]), side["near"]).withColumnRenamed(side["far"], "id")
+        # a way of the source's side starts at its vertex, one of the target's side at the target
+        way = F.concat(F.array("id"), F.col("way")) if forward else F.concat(F.col("way"), F.array("id"))
+        fresh = steps.select("id", way.alias("way")).groupBy("id").agg(F.min("way").alias("way"))
+        fresh = materialize(fresh.join(reduce(DataFrame.unionByName, side["seen"]), "id", "left_anti"), "ways")
+        side["rows"], side["n"] = fresh, fresh.count()
+        side["seen"].append(fresh.select("id"))
+        if not side["n"]:
+            return []
+        from_source, from_target = sides[0]["rows"], sides[1]["rows"].withColumnRenamed("way", "rest")
+        met = from_source.join(from_target, "id").select(F.concat("rest", F.slice("way", 2, F.greatest(F.size("way") - 1, F.lit(0)))).alias("path"))
+        path = met.agg(F.min("path")).first()[0]
+        if path is not None:
+            return list(path) if reverse else list(path)[::-1]
+    return []
 
 
 def path_frame(spark, path: list[int]) -> DataFrame:

@@ -14,6 +14,7 @@ from weftgraph.model import GraphSchema
 from weftgraph.operators import hotkeys, lookup, mutation, sorting
 from weftgraph.operators.edges import usable_edges
 from weftgraph.operators.frontier import Frontier, group_by, group_by_count, without
+from weftgraph.operators.frontier import group_fold as frontier_group_fold
 from weftgraph.plans import compute, factorize, traversal
 from weftgraph.plans import queries as graph
 from weftgraph.session import materialize, micros, scratch_path
@@ -134,14 +135,6 @@ def query_out_multi(spark, path):
     return _plain(lookup.query_out(fx.edge_table(spark, path), list(_HUBS), 2))
 
 
-@query("query_out_grouped", f"""
-WITH {_E} SELECT src AS query_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM E WHERE src BETWEEN 1000000 AND 2000000 AND etype = 3 GROUP BY src""")
-def query_out_grouped(spark, path):
-    edges = fx.edge_table(spark, path)
-    result = lookup.query_out(edges.filter(F.col("src").between(1_000_000, 2_000_000)), edges.select(F.col("src").alias("id")), 3)
-    return lookup.grouped(result).select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
-
-
 @query("query_out_batches", f"""
 WITH {_E}, b AS (
   SELECT src, dst, dst // 1024 AS block, (row_number() OVER (PARTITION BY src, dst // 1024 ORDER BY dst, edge_id) - 1) // 1000 AS part FROM E WHERE etype = 3)
@@ -215,6 +208,38 @@ def vertex_fold(spark, path):
     return lookup.fold(fx.vertex_table(spark, path), n=F.count(year), lo=F.min(year), hi=F.max(year), total=F.sum(year))
 
 
+@query("vertex_zero", f"WITH {_V} SELECT id, 0 AS release_year FROM V")
+def vertex_zero(spark, path):
+    return lookup.update_all(fx.vertex_table(spark, path), "release_year", F.lit(0)).select("id", "release_year")
+
+
+@query("vertex_fold_custom", f"WITH {_V} SELECT CAST(sum(release_year * release_year) % 1000003 AS BIGINT) AS value FROM V")
+def vertex_fold_custom(spark, path):
+    """A fold by functions: squares modulo a prime."""
+    value = lookup.fold_values(fx.vertex_table(spark, path), "release_year", 0, lambda z, x: (z + x * x) % 1_000_003, lambda a, b: (a + b) % 1_000_003)
+    return spark.createDataFrame([(value,)], "value bigint")
+
+
+@query("edge_set_pointer", f"WITH {_E} SELECT edge_id, CASE WHEN etype = 3 THEN 0.25 ELSE weight END AS weight FROM E")
+def edge_set_pointer(spark, path):
+    """A column set for many edges by their pointers."""
+    edges = fx.edge_table(spark, path)
+    return _plain(lookup.set_by_pointer(edges, edges.filter("etype = 3").select("edge_id", F.lit(0.25).alias("value")), "weight").select("edge_id", "weight"))
+
+
+@query("index_guard", "SELECT TRUE AS refused")
+def index_guard(spark, path):
+    """An edge column does not join a result that is indexed by vertex, nor one that is no column."""
+    edges = fx.edge_table(spark, path)
+    refused = 0
+    for result, column in ((edges.select(F.col("dst").alias("neighbor_id")), "weight"), (lookup.query_out(edges, 274, 0), "title")):
+        try:
+            lookup.join_edge_columns(result, edges, column)
+        except ValueError:
+            refused += 1
+    return spark.createDataFrame([(refused == 2,)], "refused boolean")
+
+
 _DOMAIN = ("user", "movie", "page")
 
 
@@ -236,13 +261,13 @@ def dictionary(spark, path):
 # --- joins -------------------------------------------------------------------
 
 
-@query("edge_join_col", f"WITH {_E} SELECT DISTINCT dst AS neighbor_id, weight FROM E WHERE src = 274 AND etype = 0")
+@query("edge_join_col", f"WITH {_E} SELECT DISTINCT dst AS neighbor_id, CASE WHEN NOT isnan(weight) THEN weight END AS weight FROM E WHERE src = 274 AND etype = 0")
 def edge_join_col(spark, path):
     edges = fx.edge_table(spark, path)
     return _plain(lookup.join_edge_columns(lookup.query_out(edges, 274, 0), edges, "weight"))
 
 
-@query("edge_join_two_cols", f"WITH {_E} SELECT DISTINCT dst AS neighbor_id, weight, epoch_us(ts) AS ts FROM E WHERE src = 274 AND etype = 0")
+@query("edge_join_two_cols", f"WITH {_E} SELECT DISTINCT dst AS neighbor_id, CASE WHEN NOT isnan(weight) THEN weight END AS weight, epoch_us(ts) AS ts FROM E WHERE src = 274 AND etype = 0")
 def edge_join_two_cols(spark, path):
     edges = fx.edge_table(spark, path)
     return _plain(lookup.join_edge_columns(lookup.query_out(edges, 274, 0), edges, "weight", "ts"))
@@ -255,7 +280,7 @@ def vertex_join_col(spark, path):
 
 
 @query("in_edges_src_join", f"""
-WITH {_E}, {_V} SELECT src, dst, etype, vtype, release_year, weight FROM E JOIN V ON src = id WHERE dst BETWEEN 1 AND 1200""")
+WITH {_E}, {_V} SELECT src, dst, etype, vtype, release_year, CASE WHEN NOT isnan(weight) THEN weight END AS weight FROM E JOIN V ON src = id WHERE dst BETWEEN 1 AND 1200""")
 def in_edges_src_join(spark, path):
     return _plain(lookup.sweep_in_join(fx.edge_table(spark, path), fx.vertex_table(spark, path), 1, 1_200, ["vtype", "release_year"], ["weight"]))
 
@@ -421,6 +446,13 @@ def group_by_minus(spark, path):
     return without(group_by(hop.select_out(None), n=F.count(F.lit(1)), total=F.sum(F.col("id") % 7)), hop)
 
 
+@query("group_fold", f"WITH {_P} SELECT dst AS id, CAST(sum(dst * dst + 1) % 65521 AS BIGINT) AS value FROM P WHERE src IN ({_HOP}) GROUP BY dst")
+def group_fold(spark, path):
+    """A fold by functions for each emitted vertex."""
+    bag = Frontier.of(fx.part_edges(spark, path), 7).traverse_out(0).select_out(None)
+    return frontier_group_fold(bag.withColumn("x", F.col("id")), "x", 0, lambda z, x: (z + x * x + 1) % 65_521, lambda a, b: (a + b) % 65_521)
+
+
 # --- graph queries -----------------------------------------------------------
 
 
@@ -451,6 +483,11 @@ def recommend_top20(spark, path):
     return graph.recommend(graph.friends_of_friends_excl(fx.edge_table(spark, path), 274, 0))
 
 
+@query("recommend_limited", f"WITH {_P} SELECT dst AS id, count(*) AS count FROM P WHERE etype = 0 AND src IN (SELECT * FROM ({_HOP}) ORDER BY 1 LIMIT 5) AND dst <> 7 GROUP BY dst ORDER BY count DESC, id LIMIT 20")
+def recommend_limited(spark, path):
+    return graph.recommend(graph.friends_of_friends_limited(fx.part_edges(spark, path), 7, 0, 5))
+
+
 @query("induced_subgraph", f"WITH {_P}, s AS ({_HOP} UNION SELECT dst FROM P WHERE etype = 0 AND src IN ({_HOP})) SELECT src, dst, etype FROM P WHERE src IN (SELECT dst FROM s) AND dst IN (SELECT dst FROM s)")
 def induced_subgraph(spark, path):
     edges = fx.part_edges(spark, path)
@@ -466,7 +503,7 @@ def ego_network(spark, path):
     return graph.ego_network(fx.edge_table(spark, path), 274)
 
 
-_TRIPLES = """friends AS (SELECT DISTINCT e.src AS ego, e.dst AS v FROM P e WHERE e.src <= 199 AND e.src <> e.dst),
+_TRIPLES = """friends AS (SELECT DISTINCT e.src AS ego, e.dst AS v FROM P e WHERE e.src <> e.dst),
 g AS (SELECT DISTINCT f.ego, least(p.src, p.dst) AS a, greatest(p.src, p.dst) AS b FROM friends f JOIN P p ON p.src = f.v JOIN friends h ON h.ego = f.ego AND h.v = p.dst WHERE p.src <> p.dst),
 deg AS (SELECT ego, v, count(*) AS d FROM (SELECT ego, a AS v FROM g UNION ALL SELECT ego, b FROM g) GROUP BY ego, v),
 base AS (SELECT ego, count(*) AS n, CAST(sum(d) // 2 AS BIGINT) AS m, CAST(sum(d * (d - 1) // 2) AS BIGINT) AS w FROM deg GROUP BY ego),
@@ -475,22 +512,10 @@ f AS (SELECT ego, n, coalesce(t, 0) AS e3, w - 3 * coalesce(t, 0) AS e2, m, n *
 q AS (SELECT ego, n, e3, e2, m * (n - 2) - 2 * e2 - 3 * e3 AS e1, c FROM f)"""
 
 
-@query("triple_freqs", f"WITH {_P}, {_TRIPLES} SELECT ego, n, c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
-def triple_freqs(spark, path):
-    egos = spark.range(200)
-    return graph.triple_frequencies(graph.ego_graphs(fx.part_edges(spark, path), egos))
-
-
-@query("triple_distribution", f"""
-WITH {_P}, {_TRIPLES} SELECT ego, round((c - e1 - e2 - e3) / c, 6) AS edges0, round(e1 / c, 6) AS edges1, round(e2 / c, 6) AS edges2, round(e3 / c, 6) AS edges3 FROM q WHERE n >= 4""")
-def triple_distribution(spark, path):
-    out = graph.triple_distribution(fx.part_edges(spark, path), spark.range(200))
-    return out.select("ego", *[F.round(f"edges{k}", 6).alias(f"edges{k}") for k in range(4)])
-
-
-_LEVELS = """L(id, level) AS (
-  SELECT CAST(7 AS BIGINT), 0 UNION SELECT p.dst, L.level + 1 FROM L JOIN P p ON p.src = L.id AND p.etype = 0 WHERE L.level < 8),
-B AS (SELECT id, min(level) AS level FROM L GROUP BY id)"""
+_LEVELS = """L(id, level) USING KEY (id) AS (
+  SELECT CAST(7 AS BIGINT), 0
+  UNION SELECT p.dst, min(L.level) + 1 FROM L JOIN P p ON p.src = L.id AND p.etype = 0 LEFT JOIN recurring.L AS k ON k.id = p.dst WHERE k.id IS NULL GROUP BY p.dst),
+B AS (SELECT id, level FROM L)"""
 
 
 @query("bfs_levels", f"WITH RECURSIVE {_P}, {_LEVELS} SELECT id, level FROM B")
@@ -515,55 +540,53 @@ def shortest_path(spark, path):
 
 
 @query("multi_bfs_hist", f"""
-WITH RECURSIVE {_P}, S AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM P WHERE weight <= 5 UNION ALL SELECT dst, src FROM P WHERE weight <= 5)),
-M(seed, id, level) AS (
-  SELECT range, range, 0 FROM range(40) UNION SELECT M.seed, S.dst, M.level + 1 FROM M JOIN S ON S.src = M.id WHERE M.level < 6),
-B AS (SELECT seed, id, min(level) AS level FROM M GROUP BY seed, id)
-SELECT seed AS vertex, {', '.join(f'count(*) FILTER (level = {k}) AS level{k}' for k in range(1, 7))} FROM B GROUP BY seed""")
+WITH RECURSIVE {_P}, S AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM P UNION ALL SELECT dst, src FROM P)),
+M(seed, id, level) USING KEY (seed, id) AS (
+  SELECT p_partkey, p_partkey, 0 FROM (SELECT p_partkey FROM part ORDER BY 1 LIMIT 1200)
+  UNION SELECT M.seed, S.dst, min(M.level) + 1 FROM M JOIN S ON S.src = M.id LEFT JOIN recurring.M AS k ON k.seed = M.seed AND k.id = S.dst
+  WHERE k.id IS NULL AND M.level < 6 GROUP BY M.seed, S.dst)
+SELECT seed AS vertex, {', '.join(f'count(*) FILTER (level = {k}) AS level{k}' for k in range(1, 7))} FROM M GROUP BY seed""")
 def multi_bfs_hist(spark, path):
-    edges = fx.part_edges(spark, path).filter("weight <= 5")
-    return traversal.level_histogram(traversal.multi_bfs(edges, spark.range(40)))
-
-
-@query("multi_bfs_all")
-def multi_bfs_all(spark, path):
-    """Levels around the 1,200 least parts over all edges; as many searches are beyond the SQL."""
+    """Levels around the 1,200 least parts over all edges."""
     seeds = fx.part_vertices(spark, path).select("id").orderBy("id").limit(1_200)
     return traversal.level_histogram(traversal.multi_bfs(fx.part_edges(spark, path), seeds))
 
 
-# --- whole tables: the egos and edges that the bounded queries of the same names leave out
-
-_TRIPLES_ALL = _TRIPLES.replace("e.src <= 199 AND ", "")
+@query("csv_levels", ORACLES["multi_bfs_hist"])
+def csv_levels(spark, path):
+    """The same levels written as CSV and read back."""
+    target = scratch_path(spark, "csv")
+    sinks.write_level_histogram(multi_bfs_hist(spark, path), target)
+    return spark.read.option("header", True).schema("vertex bigint, " + ", ".join(f"level{k} bigint" for k in range(1, 7))).csv(target)
 
 
 def _egos(spark: SparkSession, path: str) -> DataFrame:
     return fx.part_edges(spark, path).select(F.col("src").alias("id"))
 
 
-@query("triple_freqs_all", f"WITH {_P}, {_TRIPLES_ALL} SELECT ego, n, c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
-def triple_freqs_all(spark, path):
+@query("triple_freqs", f"WITH {_P}, {_TRIPLES} SELECT ego, n, c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
+def triple_freqs(spark, path):
     return graph.triple_frequencies(graph.ego_graphs(fx.part_edges(spark, path), _egos(spark, path)))
 
 
-@query("triple_distribution_all", f"""
-WITH {_P}, {_TRIPLES_ALL} SELECT ego, round((c - e1 - e2 - e3) / c, 6) AS edges0, round(e1 / c, 6) AS edges1, round(e2 / c, 6) AS edges2, round(e3 / c, 6) AS edges3 FROM q WHERE n >= 4""")
-def triple_distribution_all(spark, path):
+@query("triple_distribution", f"""
+WITH {_P}, {_TRIPLES} SELECT ego, round((c - e1 - e2 - e3) / c, 6) AS edges0, round(e1 / c, 6) AS edges1, round(e2 / c, 6) AS edges2, round(e3 / c, 6) AS edges3 FROM q WHERE n >= 4""")
+def triple_distribution(spark, path):
     out = graph.triple_distribution(fx.part_edges(spark, path), _egos(spark, path))
     return out.select("ego", *[F.round(f"edges{k}", 6).alias(f"edges{k}") for k in range(4)])
 
 
-@query("csv_sinks_all", f"WITH {_P}, {_TRIPLES_ALL} SELECT c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
-def csv_sinks_all(spark, path):
+@query("csv_sinks", f"WITH {_P}, {_TRIPLES} SELECT c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
+def csv_sinks(spark, path):
     """Triple frequencies of every ego written as CSV and read back."""
     target = scratch_path(spark, "csv")
-    sinks.write_triple_frequencies(triple_freqs_all(spark, path), target)
+    sinks.write_triple_frequencies(triple_freqs(spark, path), target)
     return spark.read.option("header", True).schema("edges0 bigint, edges1 bigint, edges2 bigint, edges3 bigint").csv(target)
 
 
 # --- vertex programs ---------------------------------------------------------
 
-_CC = """links AS (SELECT src AS a, dst AS b FROM P WHERE weight <= 1 UNION SELECT dst, src FROM P WHERE weight <= 1),
+_CC = """links AS (SELECT src AS a, dst AS b FROM P UNION SELECT dst, src FROM P),
 label(v, g) USING KEY (v) AS (
   SELECT p_partkey AS v, p_partkey AS g FROM part
   UNION SELECT e.b, min(l.g) FROM label l JOIN links e ON e.a = l.v JOIN recurring.label k ON k.v = e.b WHERE l.g < k.g GROUP BY e.b)"""
@@ -571,7 +594,8 @@ label(v, g) USING KEY (v) AS (
 
 @query("components", f"WITH RECURSIVE {_P}, {_CC} SELECT v AS id, g AS component FROM label")
 def components(spark, path):
-    return compute.connected_components(fx.part_vertices(spark, path), fx.sparse_part_edges(spark, path))
+    """Components over all part edges."""
+    return compute.connected_components(fx.part_vertices(spark, path), fx.part_edges(spark, path))
 
 
 @query("component_sizes", f"WITH RECURSIVE {_P}, {_CC} SELECT g AS component, count(*) AS size FROM label GROUP BY g HAVING count(*) > 1 ORDER BY size DESC, component DESC LIMIT 20")
@@ -581,30 +605,356 @@ def component_sizes(spark, path):
 
 @query("min_label_program", f"WITH RECURSIVE {_P}, {_CC} SELECT v AS id, g AS label FROM label")
 def min_label_program(spark, path):
-    """The same components by a vertex program with selective scheduling."""
-    return compute.run_program(compute.ReachableMin(), fx.part_vertices(spark, path), fx.sparse_part_edges(spark, path), 100)
+    """The same components by the vertex program, until no vertex is active."""
+    return compute.run_program(compute.ReachableMin(), fx.part_vertices(spark, path), fx.part_edges(spark, path), 1_000_000)
+
+
+@query("edge_labels", f"WITH RECURSIVE {_P}, {_CC} SELECT src, dst, etype, weight, g AS edge_label FROM P JOIN label ON v = src")
+def edge_labels(spark, path):
+    """Component labels as a program that reads and writes edge values leaves them on the edges."""
+    return compute.label_edges(fx.part_vertices(spark, path), fx.part_edges(spark, path))[1].withColumn("weight", F.col("weight").cast("double"))
+
+
+def _rank_round(k: int, last: str) -> str:
+    return f"""r{k} AS (SELECT v.p_partkey AS id, 0.15 / n.n + 0.85 * coalesce(sum(greatest(CAST(0.15 AS DOUBLE), {last}.rank) / o.d), 0) AS rank
+FROM part v CROSS JOIN n LEFT JOIN P e ON e.dst = v.p_partkey LEFT JOIN {last} ON {last}.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.p_partkey, n.n)"""
+
+
+@query("pagerank3", f"""
+WITH {_P}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM part), o AS (SELECT src, CAST(count(*) AS DOUBLE) AS d FROM P GROUP BY src),
+r0 AS (SELECT p_partkey AS id, CAST(0 AS DOUBLE) AS rank FROM part), {_rank_round(1, 'r0')}, {_rank_round(2, 'r1')}, {_rank_round(3, 'r2')}
+SELECT id, round(rank, 6) AS rank FROM r3""")
+def pagerank3(spark, path):
+    return compute.pagerank(fx.part_vertices(spark, path), fx.part_edges(spark, path), 3).select("id", F.round("rank", 6).alias("rank"))
+
+
+def _factors(ids: DataFrame) -> DataFrame:
+    """Fixed factors, so that the results can be checked: entry k of id is ((31 id + 17 k) mod 97) / 97."""
+    return ids.select("id", F.array(*[((F.col("id") * 31 + 17 * k) % 97) / F.lit(97.0) for k in range(factorize.RANK)]).alias("factor"))
+
+
+def _f(of: str, k: int) -> str:
+    return f"((({of}) * 31 + {17 * k}) % 97) / 97.0::DOUBLE"
+
+
+_SCORE = " + ".join(f"({_f('u', k)}) * ({_f('i', k)})" for k in range(10))
+
+
+@query("als_predict", f"SELECT i AS id, round({_SCORE}, 6) AS score FROM (SELECT 200011 AS u, p_partkey AS i FROM part) ORDER BY round({_SCORE}, 9) DESC, id LIMIT 20")
+def als_predict(spark, path):
+    items = fx.part_vertices(spark, path).select("id", F.col("name").alias("title"))
+    factors = _factors(items.select("id").union(spark.createDataFrame([(200_011,)], "id bigint")))
+    return graph.recommend_by_factors(factors, 200_011, items).select("id", F.round("score", 6).alias("score"))
+
 
+@query("recommend_for_user", f"WITH {_V} SELECT i AS id, title, round({_SCORE}, 6) AS score FROM (SELECT 1000033 AS u, id AS i, title FROM V WHERE vtype = 'movie') ORDER BY round({_SCORE}, 9) DESC, id LIMIT 20")
+def recommend_for_user(spark, path):
+    """The 20 movies of the greatest score, with their titles."""
+    vertices = fx.vertex_table(spark, path)
+    factors = _factors(vertices.select("id").union(spark.createDataFrame([(1_000_033,)], "id bigint")).distinct())
+    return graph.recommend_by_factors(factors, 1_000_033, vertices.filter("vtype = 'movie'")).select("id", "title", F.round("score", 6).alias("score"))
 
-_CC_ALL = _CC.replace(" WHERE weight <= 1", "")
 
+@query("als_rmse", f"WITH {_R}, s AS (SELECT rating, {_SCORE} AS p FROM (SELECT src AS u, dst AS i, rating FROM R)) SELECT count(*) AS n, round(sqrt(avg((rating - p) * (rating - p))), 6) AS rmse FROM s")
+def als_rmse(spark, path):
+    rows = fx.ratings(spark, path)
+    users = _factors(rows.select(F.col("src").alias("id")).distinct())
+    items = _factors(rows.select(F.col("dst").alias("id")).distinct())
+    return factorize.rmse(factorize.predict(rows, users, items)).select("n", F.round("rmse", 6).alias("rmse"))
+
+
+_SUMS = [(f"a{i}_{j}", f"x{i} * x{j}") for i in range(10) for j in range(i, 10)] + [(f"b{i}", f"x{i} * rating") for i in range(10)]
+
+
+@query("als_normal", f"""
+WITH {_R}, x AS (SELECT src AS id, rating, {', '.join(f'{_f("dst", k)} AS x{k}' for k in range(10))} FROM R)
+SELECT id, count(*) AS n, {', '.join(f'round(sum({e}), 6) AS {c}' for c, e in _SUMS)} FROM x GROUP BY id""")
+def als_normal(spark, path):
+    rows = fx.ratings(spark, path)
+    out = factorize.normal_equations(rows, _factors(rows.select(F.col("dst").alias("id")).distinct()), "src")
+    return out.select("id", "n", *[F.round(c, 6).alias(c) for c, _ in _SUMS])
+
+
+@query("als_step")
+def als_step(spark, path):
+    """The factors of all users after one exact least-squares step."""
+    rows = fx.ratings(spark, path)
+    return factorize.als_step(rows, _factors(rows.select(F.col("dst").alias("id")).distinct()), "src").select("id", F.array_join(F.transform("factor", lambda x: F.round(x, 4)).cast("array<string>"), ",").alias("factor"))
+
+
+@query("als_train")
+def als_train(spark, path):
+    """Error over all ratings after five alternations."""
+    rows = fx.ratings(spark, path)
+    users, items = factorize.als(rows)
+    return factorize.rmse(factorize.predict(rows, users, items)).select("n", F.round("rmse", 3).alias("rmse"))
 
-@query("components_all", f"WITH RECURSIVE {_P}, {_CC_ALL} SELECT v AS id, g AS component FROM label")
-def components_all(spark, path):
+
+@query("als_solved", f"WITH {_R} SELECT src AS id, TRUE AS solved FROM R GROUP BY src")
+def als_solved(spark, path):
+    """Whether each user's factor of a step solves its equations (A + 0.065 n I) w = b."""
+    rows = fx.ratings(spark, path)
+    given = _factors(rows.select(F.col("dst").alias("id")).distinct())
+    both = factorize.normal_equations(rows, given, "src").join(factorize.als_step(rows, given, "src"), "id")
+    w = [F.get("factor", F.lit(k)) for k in range(factorize.RANK)]
+    a = {(i, j): F.col(f"a{min(i, j)}_{max(i, j)}") for i in range(factorize.RANK) for j in range(factorize.RANK)}
+    rest = [F.abs(sum(a[i, j] * w[j] for j in range(factorize.RANK)) + factorize.LAMBDA * F.col("n") * w[i] - F.col(f"b{i}")) for i in range(factorize.RANK)]
+    return both.select("id", (F.greatest(*rest) < 1e-6).alias("solved"))
+
+
+@query("als_better", f"WITH {_R} SELECT count(*) AS n, TRUE AS better FROM R")
+def als_better(spark, path):
+    """Whether training explains the ratings better than their mean does."""
+    rows = fx.ratings(spark, path)
+    users, items = factorize.als(rows)
+    spread = rows.agg(F.stddev_pop("rating").alias("spread"))
+    return factorize.rmse(factorize.predict(rows, users, items)).crossJoin(F.broadcast(spread)).select("n", (F.col("rmse") < F.col("spread")).alias("better"))
+
+
+# --- edits, storage and streams ----------------------------------------------
+
+
+@query("delete_edge", f"WITH {_E} SELECT src, dst, edge_id FROM E WHERE edge_id <> (SELECT max(edge_id) FROM E WHERE src = 792 AND dst = 1001)")
+def delete_edge(spark, path):
+    return mutation.delete_edge(fx.edge_table(spark, path), 792, 1001, None).select("src", "dst", "edge_id")
+
+
+@query("delete_vertex", f"WITH {_E} SELECT src, dst, edge_id FROM E WHERE src <> 792 AND dst <> 792")
+def delete_vertex(spark, path):
+    return mutation.delete_vertex(fx.edge_table(spark, path), 792).select("src", "dst", "edge_id")
+
+
+@query("update_edge", f"WITH {_E} SELECT edge_id, CASE WHEN edge_id = (SELECT max(edge_id) FROM E WHERE src = 792 AND dst = 1001) THEN 0.5 ELSE weight END AS weight FROM E")
+def update_edge(spark, path):
+    return _plain(mutation.update_edge(fx.edge_table(spark, path), 792, 1001, None, "weight", 0.5).select("edge_id", "weight"))
+
+
+@query("tombstones", f"WITH {_E} SELECT edge_id FROM E WHERE edge_id NOT IN (SELECT edge_id FROM E WHERE etype = 3)")
+def tombstones(spark, path):
+    edges = fx.edge_table(spark, path)
+    return mutation.drop_tombstones(edges, edges.filter("etype = 3")).select("edge_id")
+
+
+def _store(spark: SparkSession) -> GraphStore:
+    schema = GraphSchema().add("edge", "weight", "float").add("edge", "low", "long", default=lambda s, d, t: F.least(s, d)).add("vertex", "title", "string")
+    return GraphStore(spark, scratch_path(spark, "store"), schema).create()
+
+
+_STORED = f"""{_E}, kept AS (SELECT * FROM E WHERE src <> 687 AND dst <> 687 AND edge_id <> (SELECT max(edge_id) FROM E WHERE src = 792 AND dst = 1001 AND src <> 687 AND dst <> 687))"""
+
+
+@query("store_roundtrip", f"WITH {_STORED} SELECT src, dst, etype, edge_id, least(src, dst) AS low FROM kept")
+def store_roundtrip(spark, path):
+    """Ingest, delete a vertex and an edge, compact, and read back."""
+    store = _store(spark)
+    store.add_edges(fx.edge_table(spark, path), ["weight"])
+    store.delete_vertex(687)
+    store.delete_edge(792, 1001, None)
+    store.compact()
+    return _plain(store.edges().select("src", "dst", "etype", "edge_id", "low"))
+
+
+@query("store_set_pointer", f"WITH {_E} SELECT edge_id, CASE WHEN etype = 2 THEN 0.5 ELSE weight END AS weight FROM E")
+def store_set_pointer(spark, path):
+    """An edge column of a stored graph set by pointers, twice; the later value stays, also behind a compaction."""
+    store = _store(spark)
+    edges = fx.edge_table(spark, path)
+    store.add_edges(edges, ["weight"])
+    for value in (0.125, 0.5):
+        store.set_by_pointer(edges.filter("etype = 2").select("edge_id", F.lit(value).alias("value")), "weight")
+    store.compact()
+    return _plain(store.edges().select("edge_id", "weight"))
+
+
+@query("store_set_vertex", f"WITH {_V} SELECT id, CASE WHEN vtype = 'movie' AND id % 2 = 0 THEN 'renamed' WHEN vtype = 'page' THEN 'again' ELSE title END AS title FROM V")
+def store_set_vertex(spark, path):
+    """Vertex values of a stored graph: set, and replaced by a second delivery."""
+    store = _store(spark)
+    vertices = fx.vertex_table(spark, path)
+    store.add_vertices(vertices)
+    store.set_vertex_values(vertices.filter("vtype = 'movie' and id % 2 = 0 or vtype = 'page'").select("id", F.lit("renamed").alias("value")), "title")
+    store.add_vertices(vertices.filter("vtype = 'page'").withColumn("title", F.lit("again")))
+    return store.vertices().select("id", "title")
+
+
+def _edge_files(spark: SparkSession, path: str) -> str:
+    source = scratch_path(spark, "stream")
+    fx.edge_table(spark, path).repartition(6).write.parquet(source)
+    return source
+
+
+_STREAMED = "src bigint, dst bigint, etype tinyint, edge_id bigint, weight float"
+
+
+@query("stream_replay", f"WITH {_E} SELECT src, dst, etype, edge_id FROM E")
+def stream_replay(spark, path):
+    """A stream whose last batch is replayed, as after a failure before its commit was noted: no edge comes twice."""
+    source, checkpoint = _edge_files(spark, path), scratch_path(spark, "stream-checkpoint")
+    store = _store(spark)
+    for _ in range(2):
+        ingest.ingest(ingest.edge_stream(spark, source, _STREAMED, 3), store, ["weight"], checkpoint).awaitTermination()
+        noted = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/1")
+        noted.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(noted, False)
+    return _plain(store.edges().select("src", "dst", "etype", "edge_id"))
+
+
+@query("stream_continuous", f"""
+WITH {_E}, ends AS (SELECT src AS id, 0 AS i, 1 AS o FROM E UNION ALL SELECT dst, 1, 0 FROM E)
+SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM ends GROUP BY id""")
+def stream_continuous(spark, path):
+    """Degrees recomputed behind each micro-batch; those of the last one."""
+    made = []
+    stream = ingest.edge_stream(spark, _edge_files(spark, path), _STREAMED, 3)
+    after = lambda store, _: made.append(materialize(lookup.degrees(store.edges()), "degrees"))
+    ingest.ingest(stream, _store(spark), ["weight"], scratch_path(spark, "stream-checkpoint"), after).awaitTermination()
+    return made[-1].select("id", "in_degree", "out_degree")
+
+
+@query("stream_ingest", f"WITH {_E} SELECT src, dst, etype, edge_id FROM E WHERE dst BETWEEN 1 AND 2000")
+def stream_ingest(spark, path):
+    """Edges streamed into a store in micro-batches, read back by range of dst."""
+    store = _store(spark)
+    stream = ingest.edge_stream(spark, _edge_files(spark, path), _STREAMED, 2)
+    ingest.ingest(stream, store, ["weight"], scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    return _plain(store.edges((1, 2_000)).select("src", "dst", "etype", "edge_id"))
+
+
+@query("stream_windows", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windows(spark, path):
+    """Events by hour and type, counted as a stream."""
+    source = scratch_path(spark, "events")
+    events = fx.table(spark, path, "events")
+    events.write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = "w" + source.rsplit("-", 1)[1]
+    counted = ingest.run_to_memory(ingest.windowed_counts(stream, "ts", "10 minutes", "1 hour", "event_type"), name, "complete")
+    return _plain(counted)
+
+
+# --- sources and sinks -------------------------------------------------------
+
+
+@query("load_edge_list", f"WITH {_E} SELECT src, dst, 0 AS etype FROM E")
+def load_edge_list(spark, path):
+    """Edges written as text and read back by the edge list reader."""
+    target = scratch_path(spark, "edges")
+    fx.edge_table(spark, path).select(F.concat_ws("\t", "src", "dst")).write.text(target)
+    return _plain(loaders.read_edge_list(spark, target).select("src", "dst", "etype"))
+
+
+@query("parallel_edges", f"WITH {_E} SELECT src, dst, count(*) - CAST(src = 792 AND dst = 1001 AS INT) AS n FROM E GROUP BY src, dst")
+def parallel_edges(spark, path):
+    """A list with parallel edges, loaded, one of them deleted: the others stay."""
+    target = scratch_path(spark, "edges")
+    fx.edge_table(spark, path).select(F.concat_ws("\t", "src", "dst")).write.text(target)
+    loaded = materialize(loaders.read_edge_list(spark, target), "loaded")
+    return mutation.delete_edge(loaded, 792, 1001, None).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("load_ratings", f"WITH {_R} SELECT src, dst, CAST(floor(rating) AS INT) AS rating FROM R")
+def load_ratings(spark, path):
+    """Ratings written as coordinate files and read back."""
+    target = scratch_path(spark, "ratings")
+    rows = fx.ratings(spark, path).select(F.concat_ws(" ", F.col("src") - loaders.USER_OFFSET, "dst", F.floor("rating")).alias("value"))
+
+    def with_head(batches):
+        import pyarrow as pa
+
+        head = True
+        for batch in batches:
+            if head:
+                yield pa.RecordBatch.from_arrays([pa.array(["%%MatrixMarket matrix", "% made here", "9 9 9"])], schema=batch.schema)
+            head = False
+            yield batch
+
+    rows.mapInArrow(with_head, "value string").write.text(target)
+    return _plain(loaders.read_matrix_market(spark, target).select("src", "dst", "rating"))
+
+
+@query("load_titles", "SELECT id, CAST(coalesce(ns, 0) AS INT) AS year, coalesce(title, '') AS title FROM page_title")
+def load_titles(spark, path):
+    """Titles written as lines and read back."""
+    target = scratch_path(spark, "titles")
+    fx.table(spark, path, "page_title").select(F.concat_ws(",", "id", F.coalesce(F.col("ns").cast("string"), F.lit("NULL")), F.coalesce("title", F.lit("")))).write.option("encoding", "ISO-8859-1").text(target)
+    return _plain(loaders.read_titles(spark, target))
+
+
+def _dumped(spark: SparkSession, name: str, rows: DataFrame) -> str:
+    """The folder of (a, b, title) rows written as insert statements of 100 tuples or so, with escaped quotes and an end of ``'s``."""
+    target = scratch_path(spark, name)
+    one = F.concat(F.lit("("), F.col("a"), F.lit(","), F.col("b"), F.lit(",'"), F.replace(F.col("title"), F.lit("'"), F.lit("\\'")), F.lit("\\'s',0)"))
+    lines = rows.groupBy(F.pmod(F.xxhash64("a", "b", "title"), F.lit(997))).agg(F.array_join(F.collect_list(one), ",").alias("v"))
+    lines.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), F.col("v"), F.lit(";"))).write.text(target)
+    return target
+
+
+def _page_dump(spark: SparkSession, path: str) -> DataFrame:
+    pages = fx.table(spark, path, "page_title").select(F.col("id").alias("a"), F.coalesce("ns", F.lit(0)).alias("b"), F.coalesce("title", F.lit("")).alias("title"))
+    return loaders.read_page_dump(spark, _dumped(spark, "page", pages))
+
+
+@query("load_dump", "SELECT id, CAST(coalesce(ns, 0) AS INT) AS ns, coalesce(title, '') || '''s' AS title FROM page_title")
+def load_dump(spark, path):
+    """Pages written as insert statements and read back, with escaped quotes."""
+    return _page_dump(spark, path)
+
+
+@query("page_ingest", "SELECT id, coalesce(title, '') || '''s' AS title FROM page_title WHERE coalesce(ns, 0) = 0")
+def page_ingest(spark, path):
+    """Pages of namespace 0 of a dump."""
+    return loaders.pages_of(_page_dump(spark, path))
+
+
+@query("load_links", f"""
+WITH {_E}, d AS (SELECT title, min(id) AS id FROM page_title GROUP BY title)
+SELECT e.src, d.id AS dst FROM E e JOIN page_title p ON e.dst = p.id JOIN d ON d.title = p.title WHERE e.src <> d.id""")
+def load_links(spark, path):
+    """Links of a dump resolved by title; parallel links stay apart."""
+    pages = fx.table(spark, path, "page_title")
+    links = fx.edge_table(spark, path).join(pages.select(F.col("id").alias("dst"), "title"), "dst").filter("title is not null")
+    read = loaders.read_link_dump(spark, _dumped(spark, "pagelinks", links.select(F.col("src").alias("a"), F.lit(0).alias("b"), "title")))
+    return loaders.resolve_links(read, pages.withColumn("title", F.concat("title", F.lit("'s"))))[0].dropDuplicates(["edge_id"]).select("src", "dst")
+
+
+@query("csv_sinks", f"WITH {_P}, {_TRIPLES} SELECT c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
+def csv_sinks(spark, path):
+    """Triple frequencies of every ego written as CSV and read back."""
+    target = scratch_path(spark, "csv")
+    sinks.write_triple_frequencies(triple_freqs(spark, path), target)
+    return spark.read.option("header", True).schema("edges0 bigint, edges1 bigint, edges2 bigint, edges3 bigint").csv(target)
+
+
+# --- vertex programs ---------------------------------------------------------
+
+_CC = """links AS (SELECT src AS a, dst AS b FROM P UNION SELECT dst, src FROM P),
+label(v, g) USING KEY (v) AS (
+  SELECT p_partkey AS v, p_partkey AS g FROM part
+  UNION SELECT e.b, min(l.g) FROM label l JOIN links e ON e.a = l.v JOIN recurring.label k ON k.v = e.b WHERE l.g < k.g GROUP BY e.b)"""
+
+
+@query("components", f"WITH RECURSIVE {_P}, {_CC} SELECT v AS id, g AS component FROM label")
+def components(spark, path):
     """Components over all part edges."""
     return compute.connected_components(fx.part_vertices(spark, path), fx.part_edges(spark, path))
 
 
-@query("component_sizes_all", f"WITH RECURSIVE {_P}, {_CC_ALL} SELECT g AS component, count(*) AS size FROM label GROUP BY g HAVING count(*) > 1 ORDER BY size DESC, component DESC LIMIT 20")
-def component_sizes_all(spark, path):
-    return compute.component_sizes(components_all(spark, path))
+@query("component_sizes", f"WITH RECURSIVE {_P}, {_CC} SELECT g AS component, count(*) AS size FROM label GROUP BY g HAVING count(*) > 1 ORDER BY size DESC, component DESC LIMIT 20")
+def component_sizes(spark, path):
+    return compute.component_sizes(components(spark, path))
 
 
-@query("min_label_all", f"WITH RECURSIVE {_P}, {_CC_ALL} SELECT v AS id, g AS label FROM label")
-def min_label_all(spark, path):
+@query("min_label_program", f"WITH RECURSIVE {_P}, {_CC} SELECT v AS id, g AS label FROM label")
+def min_label_program(spark, path):
     """The same components by the vertex program, until no vertex is active."""
     return compute.run_program(compute.ReachableMin(), fx.part_vertices(spark, path), fx.part_edges(spark, path), 1_000_000)
 
 
+@query("edge_labels", f"WITH RECURSIVE {_P}, {_CC} SELECT src, dst, etype, weight, g AS edge_label FROM P JOIN label ON v = src")
+def edge_labels(spark, path):
+    """Component labels as a program that reads and writes edge values leaves them on the edges."""
+    return compute.label_edges(fx.part_vertices(spark, path), fx.part_edges(spark, path))[1].withColumn("weight", F.col("weight").cast("double"))
+
+
 def _rank_round(k: int, last: str) -> str:
     return f"""r{k} AS (SELECT v.p_partkey AS id, 0.15 / n.n + 0.85 * coalesce(sum(greatest(CAST(0.15 AS DOUBLE), {last}.rank) / o.d), 0) AS rank
 FROM part v CROSS JOIN n LEFT JOIN P e ON e.dst = v.p_partkey LEFT JOIN {last} ON {last}.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.p_partkey, n.n)"""
@@ -632,11 +982,17 @@ _SCORE = " + ".join(f"({_f('u', k)}) * ({_f('i', k)})" for k in range(10))
 
 @query("als_predict", f"SELECT i AS id, round({_SCORE}, 6) AS score FROM (SELECT 200011 AS u, p_partkey AS i FROM part) ORDER BY round({_SCORE}, 9) DESC, id LIMIT 20")
 def als_predict(spark, path):
-    items = _factors(fx.part_vertices(spark, path))
-    user = _factors(spark.createDataFrame([(200_011,)], "id bigint"))
-    one = F.broadcast(user.select(F.col("factor").alias("u")))
-    scored = items.join(one).select("id", F.round(vectors.dot(F.col("u"), F.col("factor")), 9).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    items = fx.part_vertices(spark, path).select("id", F.col("name").alias("title"))
+    factors = _factors(items.select("id").union(spark.createDataFrame([(200_011,)], "id bigint")))
+    return graph.recommend_by_factors(factors, 200_011, items).select("id", F.round("score", 6).alias("score"))
+
+
+@query("recommend_for_user", f"WITH {_V} SELECT i AS id, title, round({_SCORE}, 6) AS score FROM (SELECT 1000033 AS u, id AS i, title FROM V WHERE vtype = 'movie') ORDER BY round({_SCORE}, 9) DESC, id LIMIT 20")
+def recommend_for_user(spark, path):
+    """The 20 movies of the greatest score, with their titles."""
+    vertices = fx.vertex_table(spark, path)
+    factors = _factors(vertices.select("id").union(spark.createDataFrame([(1_000_033,)], "id bigint")).distinct())
+    return graph.recommend_by_factors(factors, 1_000_033, vertices.filter("vtype = 'movie'")).select("id", "title", F.round("score", 6).alias("score"))
 
 
 @query("als_rmse", f"WITH {_R}, s AS (SELECT rating, {_SCORE} AS p FROM (SELECT src AS u, dst AS i, rating FROM R)) SELECT count(*) AS n, round(sqrt(avg((rating - p) * (rating - p))), 6) AS rmse FROM s")
@@ -647,13 +1003,16 @@ def als_rmse(spark, path):
     return factorize.rmse(factorize.predict(rows, users, items)).select("n", F.round("rmse", 6).alias("rmse"))
 
 
+_SUMS = [(f"a{i}_{j}", f"x{i} * x{j}") for i in range(10) for j in range(i, 10)] + [(f"b{i}", f"x{i} * rating") for i in range(10)]
+
+
 @query("als_normal", f"""
-WITH {_R}, x AS (SELECT src AS id, rating, {', '.join(f'{_f("dst", k)} AS x{k}' for k in range(3))} FROM R)
-SELECT id, count(*) AS n, round(sum(x0 * x1), 6) AS a0_1, round(sum(x2 * x2), 6) AS a2_2, round(sum(x0 * rating), 6) AS b0 FROM x GROUP BY id""")
+WITH {_R}, x AS (SELECT src AS id, rating, {', '.join(f'{_f("dst", k)} AS x{k}' for k in range(10))} FROM R)
+SELECT id, count(*) AS n, {', '.join(f'round(sum({e}), 6) AS {c}' for c, e in _SUMS)} FROM x GROUP BY id""")
 def als_normal(spark, path):
     rows = fx.ratings(spark, path)
     out = factorize.normal_equations(rows, _factors(rows.select(F.col("dst").alias("id")).distinct()), "src")
-    return out.select("id", "n", F.round("a0_1", 6).alias("a0_1"), F.round("a2_2", 6).alias("a2_2"), F.round("b0", 6).alias("b0"))
+    return out.select("id", "n", *[F.round(c, 6).alias(c) for c, _ in _SUMS])
 
 
 @query("als_step")
@@ -717,10 +1076,8 @@ def store_roundtrip(spark, path):
 @query("stream_ingest", f"WITH {_E} SELECT src, dst, etype, edge_id FROM E WHERE dst BETWEEN 1 AND 2000")
 def stream_ingest(spark, path):
     """Edges streamed into a store in micro-batches, read back by range of dst."""
-    source = scratch_path(spark, "stream")
-    fx.edge_table(spark, path).repartition(6).write.parquet(source)
     store = _store(spark)
-    stream = ingest.edge_stream(spark, source, "src bigint, dst bigint, etype tinyint, edge_id bigint, weight float", 2)
+    stream = ingest.edge_stream(spark, _edge_files(spark, path), _STREAMED, 2)
     ingest.ingest(stream, store, ["weight"], scratch_path(spark, "stream-checkpoint")).awaitTermination()
     return _plain(store.edges((1, 2_000)).select("src", "dst", "etype", "edge_id"))
 
@@ -768,11 +1125,11 @@ def load_ratings(spark, path):
     return _plain(loaders.read_matrix_market(spark, target).select("src", "dst", "rating"))
 
 
-@query("load_titles", "SELECT id, CAST(coalesce(ns, 0) AS INT) AS year, title FROM page_title WHERE title IS NOT NULL")
+@query("load_titles", "SELECT id, CAST(coalesce(ns, 0) AS INT) AS year, coalesce(title, '') AS title FROM page_title")
 def load_titles(spark, path):
     """Titles written as lines and read back."""
     target = scratch_path(spark, "titles")
-    fx.table(spark, path, "page_title").filter("title is not null").select(F.concat_ws(",", "id", F.coalesce(F.col("ns").cast("string"), F.lit("NULL")), "title")).write.option("encoding", "ISO-8859-1").text(target)
+    fx.table(spark, path, "page_title").select(F.concat_ws(",", "id", F.coalesce(F.col("ns").cast("string"), F.lit("NULL")), F.coalesce("title", F.lit("")))).write.option("encoding", "ISO-8859-1").text(target)
     return _plain(loaders.read_titles(spark, target))
 
 
@@ -787,14 +1144,6 @@ def load_dump(spark, path):
     return loaders.read_page_dump(spark, target)
 
 
-@query("csv_sinks", f"WITH {_P}, {_TRIPLES} SELECT c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
-def csv_sinks(spark, path):
-    """Triple frequencies written as CSV and read back."""
-    target = scratch_path(spark, "csv")
-    sinks.write_triple_frequencies(triple_freqs(spark, path), target)
-    return spark.read.option("header", True).schema("edges0 bigint, edges1 bigint, edges2 bigint, edges3 bigint").csv(target)
-
-
 # --- order -------------------------------------------------------------------
 
 
@@ -808,6 +1157,31 @@ def rank_rows(spark, path):
     return sorting.rank_rows(fx.edge_table(spark, path).select("src", "edge_id"), "src", "edge_id").select("edge_id", "rank")
 
 
+@query("sort_with_values", f"WITH {_E} SELECT src, dst, edge_id, weight FROM E ORDER BY src, dst, edge_id LIMIT 500")
+def sort_with_values(spark, path):
+    """The first rows of the edges sorted with their payload."""
+    return _plain(sorting.sort_with_values(fx.edge_table(spark, path), "src", "dst", "edge_id").limit(500).select("src", "dst", "edge_id", "weight"))
+
+
+@query("random_indices", "SELECT 100 AS n, 100 AS different, 100 AS known, TRUE AS same_again")
+def random_indices(spark, path):
+    """A sample without replacement: as many rows as wanted, all different, all of the table, and the same for a seed."""
+    ids = fx.vertex_table(spark, path).select("id")
+    one, two = sorting.sample_rows(ids, 100, 5), sorting.sample_rows(ids, 100, 5)
+    known = one.join(ids.distinct(), "id", "left_semi").count()
+    row = (one.count(), one.distinct().count(), known, one.exceptAll(two).isEmpty())
+    return spark.createDataFrame([row], "n int, different int, known int, same_again boolean")
+
+
+@query("random_vertex", "SELECT 10 AS n, 10 AS linked")
+def random_vertex(spark, path):
+    """Ten different vertices, all with edges."""
+    edges = fx.edge_table(spark, path)
+    drawn = materialize(lookup.random_vertex(edges, 3, 10), "drawn")
+    linked = drawn.join(lookup.degrees(edges).filter("degree > 0"), "id", "left_semi").count()
+    return spark.createDataFrame([(drawn.distinct().count(), linked)], "n int, linked int")
+
+
 @query("argsort", """
 WITH c AS (SELECT callback_id, any_value(s) AS s FROM (SELECT callback_id, list_sort(list_filter(neighbor_ids, lambda x: x IS NOT NULL), 'DESC') AS s FROM query_callback WHERE neighbor_ids IS NOT NULL) GROUP BY callback_id),
 x AS (SELECT callback_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM c)
@@ -825,20 +1199,40 @@ def merge_sorted(spark, path):
     return sorting.merge_sorted(edges.filter("etype = 2"), edges.filter("etype = 3"), "src", "dst").drop("etype")
 
 
-@query("top_edges", f"WITH {_E} SELECT edge_id, weight FROM E WHERE weight <= 1 ORDER BY weight DESC, edge_id LIMIT 50")
+@query("top_edges", f"WITH {_E} SELECT edge_id, weight FROM E WHERE NOT isnan(weight) ORDER BY weight DESC, edge_id LIMIT 50")
 def top_edges(spark, path):
-    return _plain(sorting.top_n(fx.edge_table(spark, path).filter("weight <= 1").select("edge_id", "weight"), 50, F.desc("weight"), F.asc("edge_id")))
+    return _plain(sorting.top_n(fx.edge_table(spark, path).filter("not isnan(weight) and weight is not null").select("edge_id", "weight"), 50, F.desc("weight"), F.asc("edge_id")))
 
 
-@query("random_sample")
-def random_sample(spark, path):
-    """Ten vertices with edges, drawn with a seed."""
-    return lookup.random_vertex(fx.edge_table(spark, path), 3, 10)
+_ENDS = """d AS (SELECT title, min(id) AS id FROM page_title WHERE title IS NOT NULL GROUP BY title),
+pick AS (SELECT min(id) AS a, max(id) AS b FROM d WHERE id IN (792, 1001))"""
 
 
-@query("path_by_title")
+@query("path_by_title", f"""
+WITH RECURSIVE {_E}, {_ENDS},
+L(id, level) USING KEY (id) AS (
+  SELECT a, 0 FROM pick
+  UNION SELECT e.dst, min(L.level) + 1 FROM L JOIN E e ON e.src = L.id LEFT JOIN recurring.L AS k ON k.id = e.dst WHERE k.id IS NULL AND L.level < 10 GROUP BY e.dst),
+W(id, level) AS (
+  SELECT id, level FROM L WHERE id = (SELECT b FROM pick)
+  UNION ALL SELECT (SELECT min(x.id) FROM E e JOIN L x ON x.id = e.src AND x.level = W.level - 1 WHERE e.dst = W.id), W.level - 1 FROM W WHERE W.level > 0)
+SELECT W.level AS step, W.id, d.title FROM W JOIN d ON d.id = W.id""")
 def path_by_title(spark, path):
     """A shortest path between two titled pages."""
-    pages = fx.table(spark, path, "page_title").filter("title is not null").groupBy("title").agg(F.min("id").alias("id"))
+    pages = _titled(spark, path)
     names = [r["title"] for r in pages.filter(F.col("id").isin([792, 1001])).orderBy("id").collect()]
     return graph.path_by_title(fx.edge_table(spark, path), pages, "title", names[0], names[-1])
+
+
+def _titled(spark: SparkSession, path: str) -> DataFrame:
+    return fx.table(spark, path, "page_title").filter("title is not null").groupBy("title").agg(F.min("id").alias("id"))
+
+
+@query("subgraph_by_titles", f"""
+WITH {_E}, d AS (SELECT title, min(id) AS id FROM page_title WHERE title IS NOT NULL GROUP BY title), s AS (SELECT id FROM d WHERE id IN (792, 1001, 687, 274, 1879))
+SELECT src, dst, etype, edge_id FROM E WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)""")
+def subgraph_by_titles(spark, path):
+    """The edges between five titled pages."""
+    pages = _titled(spark, path)
+    names = [r["title"] for r in pages.filter(F.col("id").isin([792, 1001, 687, 274, 1879])).collect()]
+    return _plain(graph.subgraph_by_titles(fx.edge_table(spark, path), pages, "title", names).select("src", "dst", "etype", "edge_id"))

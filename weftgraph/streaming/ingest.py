@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,15 @@ def edge_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 def ingest(stream: DataFrame, store: GraphStore, given: list[str], checkpoint: str, after: Callable[[GraphStore, int], None] | None = None, compact_share: float = 0.25) -> StreamingQuery:
     """Append each micro-batch to the store; its edges are visible once the batch is committed.
 
-    ``after`` runs behind each batch (continuous computation); deleted edges
-    beyond ``compact_share`` trigger compaction. Ends once the source is drained.
+    A batch is known by its number and the checkpoint folder: one that is replayed after a
+    failure is not added again. ``after`` runs behind each batch (continuous
+    computation); deleted edges beyond ``compact_share`` trigger compaction. Ends once
+    the source is drained.
     """
+    source = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        store.add_edges(batch, given)
+        store.add_edges(batch, given, batch=f"{source}-{batch_id}")
         if store.deleted_share() > compact_share:
             store.compact()
         if after is not None:
