@@ -4,7 +4,8 @@ import pytest
 
 from weftgraph.llm import sentences as module
 from weftgraph.llm import tokenize
-from weftgraph.llm.leaks import TemplateIndex, fold, leaked_items, normalise
+from weftgraph.llm import leaks
+from weftgraph.llm.leaks import UNIT_OF, fold, leaked_items, normalise
 from weftgraph.llm.sentences import sentence_ends, sentences
 
 TEXTS = [
@@ -68,12 +69,11 @@ def test_leaks(spark):
     assert leaked_items(df, it.limit(0)).collect() == [] and leaked_items(df.limit(0), it).collect() == []
 
 
-def test_reparameterised():
-    index = TemplateIndex([(1, PASSAGE)], 12, False)
-    for text, hit in ((PASSAGE.replace("33", "41"), 1), (PASSAGE.replace("jars", "cups"), 0)):
-        words, codes = index.read(text.split(" near")[0] + " near the east")
-        leaked, other = index.matches(words, codes, *index.hashes(codes))
-        assert (len(leaked), len(other)) == (0, hit)
+def test_reparameterised(spark):
+    texts = [PASSAGE.replace("33", "41"), PASSAGE.replace("jars", "cups")]
+    docs = spark.createDataFrame([(i, t.split(" near")[0] + " near the east") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "en", PASSAGE)], "item_id bigint, lang string, passage string")
+    assert [tuple(r) for r in leaked_items(docs, items).collect()] == [(0, 1, 0)]
 
 
 def test_reparameterised_characters(spark):
@@ -89,6 +89,48 @@ def test_reparameterised_characters(spark):
     assert sorted((r.doc_id, r.item_id, r.exact) for r in found) == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (5, 2, 1)]
 
 
+def test_filters_instead_of_words(spark, small, monkeypatch):
+    """More words of items than are broadcast, and more words in a task than it remembers: the same leaks."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    items = spark.read.parquet(f"{small}/eval_item.parquet")
+    found = sorted(map(tuple, leaked_items(docs, items).collect()))
+    assert found
+    monkeypatch.setattr(leaks, "MOST_WORDS", 0)
+    assert sorted(map(tuple, leaked_items(docs, items).collect())) == found
+    reader = leaks.Reader(leaks.WORDS, 12, leaks.WordSet(leaks.np.array([leaks.hashed("boat")])), leaks.WordSet(leaks.np.empty(0, int)))
+    monkeypatch.setattr(leaks, "MOST_HELD", 3)
+    for text in ("a boat of 3 Men", "the Boat and Ann", "boat " + " ".join(f"x{k}" for k in range(3_000)) + " kg"):
+        codes, words = reader.read(text)
+        expected = [reader._code(w) for w in UNIT_OF[leaks.WORDS].findall(text)]
+        assert [(int(a), int(b)) for a, b in zip(codes.view("int64"), words.view("int64"))] == expected
+
+
+def test_recall_of_reparameterised_items(spark, small):
+    """Every item with a number or a name in a window of enough plain words, re-parameterised, in every language; other words changed, it is none."""
+    import random
+    from collections import Counter
+
+    import regex
+
+    r = random.Random(2)
+    rows = spark.read.parquet(f"{small}/eval_item.parquet").select("item_id", "lang", "passage").collect()
+    docs, able = [], {}
+    for row in rows:
+        fresh: dict[str, str] = {}
+
+        def other(m):
+            return fresh.setdefault(m.group(), str(r.randrange(100, 999)) if "." not in m.group() else f"{r.randrange(100, 999)}.{r.randrange(10, 99)}")
+
+        text = regex.sub(r"\d+(?:\.\d+)?", other, row.passage)
+        if text != row.passage:
+            docs.append((row.item_id, "Look: " + text + " Enough."))
+            able[row.item_id] = row.lang
+    found = {(d.doc_id, d.item_id): d.exact for d in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(rows)).collect()}
+    whole, hit = Counter(able.values()), Counter(able[i] for i in able if (i, i) in found)
+    assert {lang: n for lang, n in whole.items() if hit[lang] < 0.9 * n} == {}
+    assert set(whole) == {row.lang for row in rows}
+
+
 def test_characters_as_entities(spark):
     """A post whose only characters of the script are numeric entities."""
     zh = "旧水泵藏起了裂开的罗盘码头管理员拍下了生锈的阀门暴风雨之后特乔图修好了温室的门"
@@ -103,10 +145,8 @@ def test_leaks_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     items = spark.read.parquet(f"{small}/eval_item.parquet")
     grams = collections.defaultdict(set)
-    indexes = {c: TemplateIndex([], 40 if c else 12, c) for c in (False, True)}
-
     def units(text, chars):
-        return [fold(x) for x in indexes[chars].unit.findall(normalise(text))]
+        return [fold(x) for x in UNIT_OF[leaks.CHARS if chars else leaks.WORDS].findall(normalise(text))]
 
     for r in items.collect():
         chars = r.lang in ("zh", "ja", "th")
