@@ -10,7 +10,7 @@ from weftgraph.functions import bits, vectors
 from weftgraph.functions.ids import IdMap, intervals
 from weftgraph.model import GraphSchema
 from weftgraph.operators import lookup, mutation, sorting
-from weftgraph.operators.frontier import Frontier
+from weftgraph.operators.frontier import Frontier, group_fold
 from weftgraph.plans import compute, factorize, traversal
 from weftgraph.plans import queries as graph
 from weftgraph.sources import loaders
@@ -53,10 +53,23 @@ def test_paths(edges):
     assert traversal.shortest_path(edges, 1, 4, max_depth=2) == []
     assert traversal.shortest_path(edges, 4, 1) == []
     assert traversal.shortest_path(edges, 9, 9) == [9]
+    assert traversal.shortest_path(edges, 1, 4, reverse=True) == [4, 3, 2, 1]
     tree = {r.id: (r.level, r.parent) for r in traversal.bfs(edges, 1).collect()}
     assert tree == {1: (0, 1), 2: (1, 1), 5: (1, 1), 3: (2, 2), 4: (3, 3)}
 
 
+def test_shortest_paths_have_the_least_parents(spark):
+    """From both ends the same path comes out as from the parents of a whole search."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.randrange(60), r.randrange(60)) for _ in range(130)]
+    graph_edges = spark.createDataFrame(rows, "src bigint, dst bigint")
+    tree = traversal.bfs(graph_edges, 0)
+    for target in (7, 23, 41, 58):
+        assert traversal.shortest_path(graph_edges, 0, target, max_depth=20) == traversal.path_to(tree, target)[::-1]
+
+
 def test_queries_over_all_egos_and_edges(spark, tmp_path):
     """An ego above 199 and edges of a weight above 5 are there in the whole queries."""
     lines = [(o, n, p, "A", 40.0) for o, way in enumerate([(900, 901, 902), (900, 902, 903), (901, 903), (900, 903)]) for n, p in enumerate(way, 1)]
@@ -98,6 +111,72 @@ def test_components_and_program(spark, edges):
     assert {r.component for r in compute.connected_components(spark.range(1, 42), chain).collect()} == {1}
 
 
+def test_programs_write_edges(spark, edges):
+    expected = {10: 1, 11: 1, 12: 1, 13: 1, 14: 1, 15: 1, 16: 6}
+    state, labelled = compute.label_edges(spark.range(1, 9), edges)
+    assert {r.edge_id: r.edge_label for r in labelled.collect()} == expected
+    assert {r.id: r.label for r in state.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}
+
+
+class Waves(compute.ReachableMin):
+    """Counts how often a vertex heard from an active neighbour; only scheduled vertices are active."""
+
+    both_ways = False
+
+    def init(self):
+        return {"heard": F.lit(0)}
+
+    def message(self):
+        return {"got": F.lit(1)}
+
+    def combine(self):
+        return {"got": F.sum("got")}
+
+    def apply(self):
+        return {"heard": F.col("heard") + F.coalesce("got", F.lit(0))}
+
+    def changed(self):
+        return F.lit(False)
+
+    def after_iteration(self, i, scheduler):
+        if i == 0:
+            scheduler.add_task(2)
+            scheduler.add_tasks([3, 6])
+        if i == 1:
+            scheduler.add_task_to_all()
+
+
+def test_scheduler(spark, edges):
+    """All vertices in the first round, three in the second, all in the third, then none is left."""
+    got = {r.id: r.heard for r in compute.run_program(Waves(), spark.range(1, 8), edges, 50).collect()}
+    assert got == {1: 0, 2: 4, 3: 3, 4: 5, 5: 2, 6: 0, 7: 3}
+    scheduler = compute.Scheduler()
+    scheduler.add_task(1)
+    assert scheduler.has_new_tasks() and scheduler.take(spark.range(3).withColumn("_active", F.lit(False))).filter("_active").collect()[0].id == 1
+    assert not scheduler.has_new_tasks()
+
+
+def test_folds(spark, edges):
+    assert lookup.fold_values(edges.repartition(3), "edge_id", 0, lambda z, x: z ^ x, lambda a, b: a ^ b) == 10 ^ 11 ^ 12 ^ 13 ^ 14 ^ 15 ^ 16
+    bag = edges.select(F.col("dst").alias("id"), F.col("edge_id").alias("v")).union(spark.createDataFrame([(2, None), (None, 4)], "id bigint, v bigint"))
+    assert {r.id: r.value for r in group_fold(bag, "v", 0, max, max).collect()} == {2: 11, 3: 12, 4: 14, 5: 15, 7: 16}
+    assert group_fold(bag.limit(0), "v", 0, max, max).collect() == []
+
+
+def test_recommendations(spark):
+    factors = spark.createDataFrame([(1, [1.0, 2.0]), (10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [0.0, 1.0])], "id bigint, factor array<double>")
+    items = spark.createDataFrame([(10, "a"), (11, "b"), (12, None), (13, "d")], "id bigint, title string")
+    assert [tuple(r) for r in graph.recommend_by_factors(factors, 1, items).collect()] == [(11, "b", 2.0), (12, None, 2.0), (10, "a", 1.0)]
+    assert graph.recommend_by_factors(factors, 99, items).collect() == []
+
+
+def test_large_ids_factorise(spark):
+    far = 1 << 40
+    ratings = spark.createDataFrame([(far + u, far * 2 + i, float((u * i) % 5)) for u in range(8) for i in range(6)], "src bigint, dst bigint, rating double")
+    users, items = factorize.als(ratings, iterations=2, rank=2)
+    assert ids(users) == [far + u for u in range(8)] and ids(items) == [far * 2 + i for i in range(6)]
+
+
 def test_triples(spark):
     # a triangle with a tail, and six vertices checked by hand
     one = [(1, 1, 2), (1, 2, 3), (1, 1, 3), (1, 3, 4)]
@@ -113,7 +192,7 @@ def test_edits(edges):
 
 def test_store(spark, edges, tmp_path):
     schema = GraphSchema().add("edge", "weight", "float").add("edge", "name", "string", default=lambda s, d, t: F.lit("new"))
-    store = GraphStore(spark, f"file://{tmp_path}/g", schema, interval=2).create()
+    store = GraphStore(spark, f"file://{tmp_path}/g", schema, rows_per_file=2).create()
     with pytest.raises(FileExistsError):
         store.create()
     store.add_edges(edges.withColumn("weight", F.lit(1.5)), ["weight"])
@@ -129,15 +208,44 @@ def test_store(spark, edges, tmp_path):
     before = state()
     assert before == [(10, 1.5, "new"), (11, 1.5, "older"), (12, None, "new"), (14, 1.5, "new"), (15, 1.5, "new"), (99, None, "new")]
     assert 0.2 < store.deleted_share() < 0.3
-    assert not store.compact(0.5) and store.compact()
+    running = store.edges()  # a reader from before the compaction
+    assert not store.compact(0.9) and store.compact()
     assert state() == before and store.deleted_share() == 0
-    assert ids(store.edges((2, 3)), "edge_id") == [10, 11, 12]
+    assert running.count() == len(before)
+    store.add_edges(edges.filter("edge_id = 10").withColumns({"edge_id": F.lit(777).cast("bigint"), "weight": F.lit(0.5)}), ["weight"], batch="s/1")
+    store.add_edges(edges.withColumn("weight", F.lit(0.5)), ["weight"], batch="s/1")
+    assert state() == sorted([*before, (777, 0.5, "new")])
+    assert store.compact()
+    store.add_edges(edges.withColumn("weight", F.lit(0.5)), ["weight"], batch="s/1")
+    assert state() == sorted([*before, (777, 0.5, "new")])
+    assert store.set_by_pointer(spark.createDataFrame([(777, "1.25"), (5, "1")], "edge_id bigint, value string"), "weight") == 2
+    assert (777, 1.25, "new") in state()
+    assert store.delete_edge(1, 2, 0) and store.delete_edge(1, 2, 0) and {x[0] for x in state()} == {10, 12, 14, 15, 99}
+    assert ids(store.edges((2, 3)), "edge_id") == [10, 12]
+    for v in (1, 2, 4, 5, 9):
+        store.delete_vertex(v)
+    assert store.compact() and state() == [] and store.add_edges(edges.withColumn("weight", F.lit(2.0)), ["weight"]) and len(state()) == 7
     with pytest.raises(ValueError):
         store.add_edges(edges, [])
     with pytest.raises(Exception, match="type from 0"):
         store.add_edges(spark.createDataFrame([(1, 1, 15, 5, 1.0)], "src bigint, dst bigint, etype int, edge_id bigint, weight float"), ["weight"])
 
 
+def test_stored_vertices(spark, tmp_path):
+    schema = GraphSchema().add("vertex", "title", "string").add("vertex", "year", "int")
+    store = GraphStore(spark, f"file://{tmp_path}/v", schema).create()
+    store.add_vertices(spark.createDataFrame([(1, "a", 1), (2, "b", None)], "id bigint, title string, year int"))
+    store.set_vertex_values(spark.createDataFrame([(1, "7"), (2, None), (3, "9")], "id bigint, value string"), "year")
+    store.set_vertex_values(spark.createDataFrame([(1, "8")], "id bigint, value string"), "year")
+    assert sorted(map(tuple, store.vertices().collect())) == [(1, "a", 8), (2, "b", None)]
+    store.add_vertices(spark.createDataFrame([(1, "c", 3)], "id bigint, title string, year int"))
+    assert sorted(map(tuple, store.vertices().collect())) == [(1, "c", 3), (2, "b", None)]
+    with pytest.raises(KeyError):
+        store.set_vertex_values(spark.createDataFrame([(1, "8")], "id bigint, value string"), "nothing")
+    one, two = store._next(), store._next()
+    assert one[:11] < two[:11]
+
+
 def test_schema():
     with pytest.raises(ValueError):
         GraphSchema().add("edge", "c", "categorical")
@@ -188,12 +296,22 @@ def test_dictionary(spark):
 
 
 def test_loaders(spark, tmp_path):
-    (tmp_path / "e.tsv").write_text("# from to\n1\t2\n3\t4\nx\t5\n")
-    assert sorted((r.src, r.dst) for r in loaders.read_edge_list(spark, f"file://{tmp_path}/e.tsv").collect()) == [(1, 2), (3, 4)]
+    (tmp_path / "e.tsv").write_text("# from to\n1\t2\n3\t4\t60\t0.5\nx\t5\n1\t2\n\n99999999999999999999\t1\n")
+    path = f"file://{tmp_path}/e.tsv"
+    loaded = loaders.read_edge_list(spark, path, bad="skip")
+    assert sorted((r.src, r.dst) for r in loaded.collect()) == [(1, 2), (1, 2), (3, 4)]
+    assert loaded.select("edge_id").distinct().count() == 3
+    assert [(r.s, r.weight) for r in loaded.filter("src = 3").selectExpr("unix_seconds(ts) as s", "weight").collect()] == [(60, 0.5)]
+    assert sorted(map(tuple, mutation.delete_edge(loaded, 1, 2, 0).select("src", "dst").collect())) == [(1, 2), (3, 4)]
+    assert sorted(r.line for r in loaders.rejected_edges(spark, path).collect()) == ["99999999999999999999\t1", "x\t5"]
+    with pytest.raises(Exception, match="bad line: "):
+        loaders.read_edge_list(spark, path).collect()
     (tmp_path / "r.mm").write_text("%%MatrixMarket\n%\n3 3 2\n1 2 4\n2 1 9 5\n7 7\n")
-    assert sorted((r.src, r.dst, r.rating) for r in loaders.read_matrix_market(spark, f"file://{tmp_path}/r.mm").collect()) == [(200_001, 2, 4), (200_002, 1, 5)]
+    with pytest.raises(Exception, match="bad line: 7 7"):
+        loaders.read_matrix_market(spark, f"file://{tmp_path}/r.mm").collect()
+    assert sorted((r.src, r.dst, r.rating) for r in loaders.read_matrix_market(spark, f"file://{tmp_path}/r.mm", bad="skip").collect()) == [(200_001, 2, 4), (200_002, 1, 5)]
     (tmp_path / "t.csv").write_bytes("1,2001,Amélie, again\n2,NULL,X\nbad\n".encode("latin-1"))
-    assert sorted((r.id, r.year, r.title) for r in loaders.read_titles(spark, f"file://{tmp_path}/t.csv").collect()) == [(1, 2001, "Amélie, again"), (2, 0, "X")]
+    assert sorted((r.id, r.year, r.title) for r in loaders.read_titles(spark, f"file://{tmp_path}/t.csv", bad="skip").collect()) == [(1, 2001, "Amélie, again"), (2, 0, "X")]
     (tmp_path / "p.sql").write_text("ALTER TABLE x;\nINSERT INTO `page` VALUES (1,0,'A','x'),(2,1,'B\\'s (c),d',''),(3,0,'E','');\n")
     assert sorted(map(tuple, loaders.read_page_dump(spark, f"file://{tmp_path}/p.sql").collect())) == [(1, 0, "A"), (2, 1, "B's (c),d"), (3, 0, "E")]
 
