@@ -38,8 +38,8 @@ LEAST_PLAIN, LEAST_PLAIN_CHARS = 7, 24
 MOST_WORDS = 4_000_000
 #: Bits of a broadcast filter, at most (64 MB).
 MOST_BITS = 1 << 29
-#: Different words a task remembers; beyond, it starts anew.
-MOST_HELD = 500_000
+#: Different words a task remembers; beyond, it starts anew. Units of texts that are read at once; a longer text is read whole all the same.
+MOST_HELD, MOST_UNITS = 500_000, 100_000
 # Languages written without spaces between words, and words that are units.
 CHAR_LANGS = ("zh", "ja", "th")
 UNITS = frozenset(
@@ -140,13 +140,11 @@ class Reader:
         self._forget()
 
     def _forget(self) -> None:
-        """The words met so far: their places in two arrays of codes."""
-        self._places: dict[str, int] = {}
+        """The words met so far: their places in two arrays of codes. Place 0 is no word."""
+        self._places: dict[str, int] = {"": 0}
         self._codes = np.zeros((2, 1_024), np.uint64)
 
     def _learn(self, units: list[str]) -> None:
-        if len(self._places) > MOST_HELD:
-            self._forget()
         fresh = [w for w in set(units) if w not in self._places]
         n = len(self._places)
         if n + len(fresh) > self._codes.shape[1]:
@@ -171,16 +169,26 @@ class Reader:
             return own, own
         return (NAME if self.way == WORDS and is_name_like(raw) else 0), own
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Template codes and word codes of a normalised text."""
+    def places(self, text: str) -> list[int]:
+        """The units of a normalised text, as places for ``codes``."""
         units = UNIT_OF[self.way].findall(text)
         try:
-            at = [self._places[u] for u in units]
+            return [self._places[u] for u in units]
         except KeyError:
             self._learn(units)
-            at = [self._places[u] for u in units]
-        both = self._codes[:, at]
-        return both[0], both[1]
+            return [self._places[u] for u in units]
+
+    def codes(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Template codes and word codes; the places are not valid any more behind it."""
+        at = np.array(places, np.int64)
+        both = self._codes[0][at], self._codes[1][at]
+        if len(self._places) > MOST_HELD:
+            self._forget()
+        return both
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Template codes and word codes of a normalised text."""
+        return self.codes(self.places(text))
 
     def templates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, template hash) of the windows whose words all have a code."""
@@ -302,28 +310,36 @@ def leaked_items(
     passes = filter_of(windows, "h", sum(n for n, _ in made.values()))
     shipped = spark.sparkContext.broadcast(([r for r in readers if r.way in made], passes, {way: script > 0 for way, (_, script) in made.items()}))
 
+    def met_in(reader: Reader, passes: WordSet, texts: list[tuple[int, str, bool]], needs_script: bool) -> Iterator[pa.RecordBatch]:
+        """The windows of many texts that pass the filter; texts are read one behind the other, with a gap that no window spans."""
+        flat: list[int] = []
+        ends: list[int] = []
+        keys: list[int] = []
+        for n, (k, t, script) in enumerate(texts, 1):
+            if script or not needs_script:
+                flat += reader.places(t)
+                flat.append(0)
+                ends.append(len(flat))
+                keys.append(k)
+            if flat and (n == len(texts) or len(flat) > MOST_UNITS):
+                codes, held = reader.codes(flat)
+                at, h = reader.templates(codes)
+                hit = passes.holds(h)
+                at, h = at[hit], h[hit]
+                exact, same, _ = reader.slots(at, codes, held)
+                key = np.array(keys, np.int64)[np.searchsorted(ends, at, side="right")]
+                yield pa.RecordBatch.from_arrays([pa.array(key), _signed(h), _signed(exact), _signed(same)], names=["k", "h", "e", "c"])
+                flat, ends, keys = [], [], []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, passes, needs_script = shipped.value
         for batch in batches:
-            keys: list[np.ndarray] = []
-            found: list[tuple[np.ndarray, ...]] = []
+            texts = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = normalise(t)
-                for reader in own:
-                    if needs_script[reader.way] and not _NO_SPACES.search(t):
-                        continue
-                    codes, held = reader.read(t)
-                    at, h = reader.templates(codes)
-                    if not len(at):
-                        continue
-                    hit = passes.holds(h)
-                    if hit.any():
-                        at, h = at[hit], h[hit]
-                        exact, same, _ = reader.slots(at, codes, held)
-                        found.append((h, exact, same))
-                        keys.append(np.full(len(at), k, np.int64))
-            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.uint64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), *map(_signed, columns)], names=["k", "h", "e", "c"])
+                texts.append((k, t, not t.isascii() and _NO_SPACES.search(t) is not None))
+            for reader in own:
+                yield from met_in(reader, passes, texts, needs_script[reader.way])
 
     rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("t is not null and k is not null"))
     met = materialize(rows.mapInArrow(run, f"k bigint, {_WINDOWS}"), "windows")
