@@ -98,8 +98,8 @@ class GraphStore:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(*[f"{self.path}/{part}/{n}" for n in names])
 
-    def _write(self, rows: DataFrame, part: str, name: str) -> int:
-        """Write a commit and note its number of rows; a commit without rows is taken back."""
+    def _write(self, rows: DataFrame, part: str, name: str, counts: bool = True) -> int:
+        """Write a commit and note its number of rows if that ``counts``; a commit without rows is taken back."""
         seen = Observation()
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", self.rows_per_file).parquet(f"{self.path}/{part}/{name}")
         try:
@@ -107,7 +107,7 @@ class GraphStore:
         except Py4JJavaError:  # the plan of an empty table has no place to observe
             n = 0
         if n:
-            self._mark("counts", f"{name}={n}")
+            self._mark("counts", f"{name}={n if counts else 0}")
         else:
             fs, path = self._fs()
             fs.delete(path(f"{self.path}/{part}/{name}"), True)
@@ -152,17 +152,17 @@ class GraphStore:
     _CHANGES = "edge_id bigint, deleted boolean, name string, value string, commit bigint"
     _VERTEX_CHANGES = "id bigint, name string, value string, commit bigint"
 
-    def _change(self, rows: DataFrame, part: str = "changes") -> int:
+    def _change(self, rows: DataFrame, part: str = "changes", counts: bool = False) -> int:
         name = self._next()
-        return self._write(rows.withColumn("commit", F.lit(int(name[1:11])).cast("bigint")), part, name)
+        return self._write(rows.withColumn("commit", F.lit(int(name[1:11])).cast("bigint")), part, name, counts)
 
-    @staticmethod
-    def _deletions(edges: DataFrame) -> DataFrame:
-        return edges.select("edge_id", F.lit(True).alias("deleted"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+    def _delete(self, edges: DataFrame) -> bool:
+        doomed = edges.select("edge_id", F.lit(True).alias("deleted"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+        return self._change(doomed, counts=True) > 0
 
     def delete_edge(self, src: int, dst: int, etype: int | None) -> bool:
         """Delete the newest matching edge; whether there was one. Parallel edges stay."""
-        return self._change(self._deletions(find_edge(self.edges((dst, dst)), src, dst, etype))) > 0
+        return self._delete(find_edge(self.edges((dst, dst)), src, dst, etype))
 
     def update_edge(self, src: int, dst: int, etype: int | None, column: str, value) -> bool:
         """Set a column of the newest matching edge; whether there was one."""
@@ -183,7 +183,7 @@ class GraphStore:
 
     def delete_vertex(self, vertex: int) -> bool:
         """Delete all edges of a vertex in both directions and of all types; whether there were any."""
-        return self._change(self._deletions(self.edges().filter((F.col("src") == vertex) | (F.col("dst") == vertex)))) > 0
+        return self._delete(self.edges().filter((F.col("src") == vertex) | (F.col("dst") == vertex)))
 
     # reading
 
@@ -233,12 +233,12 @@ class GraphStore:
     # maintenance
 
     def deleted_share(self) -> float:
-        """Changes, of which most are tombstones, per stored edge; by the notes of the commits, without reading them."""
+        """Tombstones per stored edge, by the notes of the commits, without reading them."""
         stored = self._rows("segments")
         return self._rows("changes") / stored if stored else 0.0
 
     def compact(self, least_share: float = 0.0) -> bool:
-        """Rewrite the live edges as one segment without changes, if enough are deleted or changed.
+        """Rewrite the live edges as one segment without changes, if enough are deleted.
 
         What the compaction before it replaced is removed; what this one replaces stays for readers at work.
         """
