@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm.components import group_links
 from weftgraph.llm.heavy import frequent_above, top_k_frequent
@@ -76,6 +77,25 @@ def test_top_n(spark, n):
     assert top_n_per_group(df.limit(0), "src", "weight", "dst", "data_ptr", n).collect() == []
 
 
+def test_runs_are_whole_and_sought(spark, monkeypatch):
+    """A group of very many rows lies whole in its runs; of its row groups those behind the first N items are not read."""
+    from pyarrow import fs
+
+    from weftgraph.llm import topn
+
+    monkeypatch.setattr(topn, "ROW_GROUP", 1 << 14)
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-5).alias("g"), (-F.col("id") % 997).cast("double").alias("down"), F.lit(1).cast("bigint").alias("tie"), F.col("id").alias("item"))
+    path, buckets = topn.store_runs(rows, least=1_000_000)
+    assert spark.read.parquet(path).count() == 60_000 and buckets == 1
+    local = path.removeprefix("file:")
+    where = fs.LocalFileSystem().get_file_info(fs.FileSelector(local, recursive=True))
+    runs = [topn.Run(fs.LocalFileSystem(), f.path) for f in where if f.path.endswith(".parquet")]
+    groups = sum(r.file.num_row_groups for r in runs)
+    got = list(topn.merge_top(runs, 2))
+    assert len(got) == 6_002 and got == sorted(got, key=lambda x: x[0])
+    assert sum(r.skipped for r in runs) > groups / 2
+
+
 def test_merge_lists():
     r = random.Random(8)
     for _ in range(300):

@@ -1,21 +1,22 @@
 """Top N items of every group by merging stored sorted runs with a loser tree.
 
 Rows are cut into buckets by group and, within a bucket, into runs by item; a run
-is sorted by (group, score descending, ties) and stored as files of the shared
-folder, cut to N items a group. A hot group has as many runs as it takes to keep
-each run small. One task then merges the runs of a bucket: a loser tree yields
-their rows in order, and after N items of a group every run seeks to the next.
+is sorted by (group, score descending, ties) and stored whole as files of the shared
+folder. A hot group has as many runs as it takes to keep each run small. One task then
+merges the runs of a bucket: a loser tree yields their rows in order, and after N
+items of a group every run seeks to the next: within a row group by binary search, over
+row groups that end before it by their statistics, without reading them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import hot_keys
@@ -23,43 +24,54 @@ from weftgraph.session import scratch_path, ship_package
 
 #: Runs into which the rows of a bucket are cut, hot groups aside.
 FAN_IN = 4
+#: Bytes of a row group of a run before compression, what a seek skips or reads at once.
+ROW_GROUP = 1 << 20
 
 
 class Run:
-    """A sorted run: rows of one or more files that follow each other, a row group at a time."""
+    """A sorted run, a row group at a time; rows become Python values only when they are looked at."""
 
     def __init__(self, filesystem: fs.FileSystem, path: str):
         self.file = pq.ParquetFile(filesystem.open_input_file(path))
-        self.group = 0
-        self.rows: list[tuple] = []
-        self.keys: list[int] = []
-        self.at = 0
+        self.group, self.skipped = 0, 0
+        self.columns: list[np.ndarray] = []
+        self.at, self.size = 0, 0
+        self._head: tuple | None = None
         self._fill()
 
     def _fill(self) -> None:
-        self.rows, self.keys, self.at = [], [], 0
-        while not self.rows and self.group < self.file.num_row_groups:
+        self.at, self.size, self._head = 0, 0, None
+        while not self.size and self.group < self.file.num_row_groups:
             table = self.file.read_row_group(self.group, columns=["g", "down", "tie", "item"])
-            self.keys = table.column("g").to_pylist()
-            self.rows = list(zip(self.keys, table.column("down").to_pylist(), table.column("tie").to_pylist(), table.column("item").to_pylist()))
+            self.columns = [table.column(c).to_numpy() for c in ("g", "down", "tie", "item")]
+            self.size = table.num_rows
             self.group += 1
 
     def head(self) -> tuple | None:
-        return self.rows[self.at] if self.at < len(self.rows) else None
+        if self._head is None and self.at < self.size:
+            self._head = tuple(c[self.at].item() for c in self.columns)
+        return self._head
 
     def advance(self) -> None:
         self.at += 1
-        if self.at >= len(self.rows):
+        self._head = None
+        if self.at >= self.size:
             self._fill()
 
     def seek_past(self, key: int) -> None:
         """Move to the first row of a group beyond ``key``; row groups that end before it are not read."""
-        while self.rows and self.keys[-1] <= key:
+        while self.size and self.columns[0][-1] <= key:
             while self.group < self.file.num_row_groups and self._last(self.group) <= key:
                 self.group += 1
+                self.skipped += 1
             self._fill()
-        if self.rows:
-            self.at = bisect_right(self.keys, key, self.at)
+        if self.size:
+            # the next group is near more often than not: double the stride first, then search within it
+            keys, stride = self.columns[0], 1
+            while self.at + stride < self.size and keys[self.at + stride] <= key:
+                stride *= 2
+            self.at += int(np.searchsorted(keys[self.at : self.at + stride + 1], key, side="right"))
+            self._head = None
 
     def _last(self, group: int) -> int:
         stats = self.file.metadata.row_group(group).column(0).statistics
@@ -123,12 +135,12 @@ def merge_top(runs: list[Run], n: int) -> Iterator[tuple[int, int]]:
             tree.replay(leaf)
 
 
-def store_runs(rows: DataFrame, n: int, least: int = 50_000, fan_in: int = FAN_IN) -> tuple[str, int]:
+def store_runs(rows: DataFrame, least: int = 50_000, fan_in: int = FAN_IN) -> tuple[str, int]:
     """Write the sorted runs of (g, down, tie, item); their folder and the number of buckets.
 
     One exchange by (bucket, run). A run belongs to the items that hash to it, so
-    copies of an item meet in one run and are dropped there, and a group's rows
-    spread over the runs it has.
+    copies of an item meet in one run, side by side, and a group's rows spread over
+    the runs it has.
     """
     spark = rows.sparkSession
     hot = hot_keys(rows, "g", least=least)
@@ -145,14 +157,10 @@ def store_runs(rows: DataFrame, n: int, least: int = 50_000, fan_in: int = FAN_I
     )
     width = buckets * max([fan_in, *(-(-c // hot.limit) for c in hot.counts.values())])
     placed = placed.repartition(max(1, min(width, 4 * buckets * fan_in)), "bucket", "run")
-    order = Window.partitionBy("bucket", "run", "g").orderBy("down", "tie", "item")
-    fresh = placed.withColumn("_again", F.lag("item").over(order) == F.col("item")).filter(~F.coalesce("_again", F.lit(False)))
-    cut = fresh.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n)
     path = scratch_path(spark, "runs")
     (
-        cut.select("g", "down", "tie", "item", "bucket", "run")
-        .sortWithinPartitions("bucket", "run", "g", "down", "tie", "item")
-        .write.option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy("bucket", "run").parquet(path)
+        placed.sortWithinPartitions("bucket", "run", "g", "down", "tie", "item")
+        .write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket", "run").parquet(path)
     )
     return path, buckets
 
@@ -170,7 +178,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, item: str,
         F.col(group).cast("bigint").alias("g"), (-F.col(score).cast("double")).alias("down"),
         F.col(tie).cast("bigint").alias("tie"), F.col(item).cast("bigint").alias("item"),
     ).filter("g is not null and tie is not null and item is not null and down is not null and not isnan(down)")
-    path, buckets = store_runs(rows, n, least, fan_in)
+    path, buckets = store_runs(rows, least, fan_in)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
