@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import HotKeys, hot_keys, salted_lookup
-from weftgraph.session import materialize, ship_package
+from weftgraph.session import discard, materialize, ship_package
 
 #: Sets of one list that are merged in one task; longer ones are split. It does not depend on the data.
 BLOCK = 2_000
@@ -146,8 +146,8 @@ def as_sets(df: DataFrame, record: str, values: str, least_size: int, least_valu
     return rows.select("id", "s", F.xxhash64(F.lit(1), "s").alias("k1"), F.xxhash64(F.lit(2), F.size("s"), "s").alias("k2"))
 
 
-def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, rep) of every record, (rep, s) of every different set); rep is the least id with that set.
+def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """((id, rep) of every record, (rep, s) of every different set, the tables that the latter reads); rep is the least id with that set.
 
     Sets are compared by two 64-bit fingerprints; the least id is combined
     map-side, so a set that a third of all records hold makes no hot task. A record that
@@ -160,7 +160,7 @@ def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     tagged = salted_lookup(chosen, reps.withColumnRenamed("k2", "_k2"), "k1", hot_keys(chosen.select("k1"), "k1"), ["id"])
     members = materialize(tagged.filter("k2 = _k2").select("id", "rep"), "members")
     classes = named.groupBy("k1", "k2").agg(F.first("s").alias("s")).join(reps, ["k1", "k2"]).select("rep", "s")
-    return members, classes
+    return members, classes, [named, chosen]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -334,8 +334,9 @@ def similar_pairs(df: DataFrame, record: str, values: str, threshold: float, lea
     equal sets are pairs as well: they are found as one class and expanded at the
     end. An empty table gives no rows; other columns of ``df`` are ignored.
     """
-    members, classes = classes_of(as_sets(df, record, values, least_size, least_value))
+    members, classes, spent = classes_of(as_sets(df, record, values, least_size, least_value))
     pairs = similar_classes(classes, threshold, block).select("rep_1", "rep_2")
+    discard(*spent)  # the sets are stored in their order by now
     return expand_pairs(members, pairs)
 
 
@@ -362,8 +363,9 @@ def similarity_links(df: DataFrame, record: str, values: str, threshold: float,
     counts the other members of the record's class and all members of similar
     classes. Nulls, repeats and empty tables as in ``similar_pairs``.
     """
-    members, classes = classes_of(as_sets(df, record, values, least_size, least_value))
+    members, classes, spent = classes_of(as_sets(df, record, values, least_size, least_value))
     pairs = materialize(similar_classes(classes, threshold).select("rep_1", "rep_2"), "class_pairs")
+    discard(*spent)
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     both = pairs.unionByName(pairs.select(F.col("rep_2").alias("rep_1"), F.col("rep_1").alias("rep_2")))
     near = salted_lookup(both, sizes.withColumnRenamed("rep", "rep_2"), "rep_2", hot_keys(both.select("rep_2"), "rep_2"), ["rep_1"]).groupBy("rep_1").agg(F.sum("n").alias("near"))
