@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.edges import usable_edges
 from weftgraph.operators.skew import HotKeys, hot_keys
-from weftgraph.session import materialize, micros
+from weftgraph.session import discard, materialize, micros
 
 #: Keys of no more rows are never cut.
 LEAST = 1_000
@@ -121,6 +121,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot
         want = {k: [quantile_rank(n, q) for q in probs] for k, n in count.items()}
         held = materialize(rows.join(F.broadcast(hot.table(spark, "_key", kind)), "_key", "left_semi"), "hot_values")
         got = {(x.key, x.rank): x.value for x in select_ranks(held, ["_key"], "_v", bounds, want)}
+        discard(held)
         exact = [(k[0], n, *[got[(k, quantile_rank(n, q))] for q in probs]) for k, n in count.items()]
         schema = f"_key {kind}, n bigint, " + ", ".join(f"{c} bigint" for c in names)
         out = out.unionByName(spark.createDataFrame(exact, schema))
@@ -169,6 +170,7 @@ def ordered_buckets(df: DataFrame, key: str, first: str, second: str, least: int
         tie_bounds = {(r[key], r[first]): (r["_lo"], r["_hi"]) for r in ends}
         for x in select_ranks(tied, [key, first], second, tie_bounds, heavy):
             cuts[(x.key[0],)].add((x.key[1], x.value))
+    discard(held)
     most = max(map(len, cuts.values()))
     table = spark.createDataFrame(
         [(k[0], sorted(c)) for k, c in cuts.items()],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.lookup import id_frame
 from weftgraph.operators.skew import HotKeys, hot_keys, salted_lookup
 from weftgraph.plans.traversal import symmetric
-from weftgraph.session import materialize
+from weftgraph.session import materialize, measured
 
 
 class Scheduler:
@@ -131,12 +131,12 @@ def run_with_edges(program: VertexProgram, vertices: DataFrame, edges: DataFrame
         new = joined.select("id", *[c.alias(n) for n, c in program.apply().items()], *[F.col(n).alias(f"old_{n}") for n in columns])
         rule = program.changed()
         active_now = F.lit(True) if rule is None else F.coalesce(rule, F.lit(False))
-        state = materialize(new.select("id", *columns, active_now.alias("_active")), f"state{i}")
+        state, seen = measured(new.select("id", *columns, active_now.alias("_active")), f"state{i}", active=F.max("_active"))
         if writes:
             edges = materialize(_write_edges(program, edges, state, ends), "edges")
             links = both(edges)
         program.after_iteration(i, scheduler)
-        if rule is not None and not scheduler.has_new_tasks() and state.filter("_active").isEmpty():
+        if rule is not None and not scheduler.has_new_tasks() and not seen.get("active"):
             break
     return state.drop("_active"), edges
 
@@ -179,9 +179,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, least: int = 50_
     shrinks by a large factor a round. A null end makes no edge.
     """
     pairs = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v and u is not null and v is not null")
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    pairs, seen = measured(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs", n=F.count(F.lit(1)))
     maps: list[DataFrame] = []
-    while n := pairs.count():
+    while n := seen.get("n", 0):
         both = symmetric(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
         parent = materialize(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("src"), F.min("dst")).alias("up")), "parent")
         for _ in range(3):
@@ -190,17 +190,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame, least: int = 50_
         maps.append(parent)
         one = salted_lookup(pairs, parent.select(F.col("id").alias("u"), F.col("up").alias("a")), "u", _hot(pairs, "u", n, least), ["v"]).select("a", "v")
         two = salted_lookup(one, parent.select(F.col("id").alias("v"), F.col("up").alias("b")), "v", _hot(pairs, "v", n, least), ["a"]).filter("a <> b")
-        pairs = materialize(two.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
-    label = materialize(vertices.select("id", F.col("id").alias("component")).distinct(), "labels")
+        pairs, seen = measured(two.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs", n=F.count(F.lit(1)))
+    label, seen = measured(vertices.select("id", F.col("id").alias("component")).distinct(), "labels", n=F.count(F.lit(1)))
+    n = seen.get("n", 0)
     for parent in maps:
         up = parent.select(F.col("id").alias("component"), F.col("up").alias("_up"))
-        hot = _hot(label, "component", label.count(), least)
-        label = salted_lookup(label, up, "component", hot, ["id"], "left").select("id", F.coalesce("_up", "component").alias("component"))
+        label = salted_lookup(label, up, "component", _hot(label, "component", n, least), ["id"], "left").select("id", F.coalesce("_up", "component").alias("component"))
         label = materialize(label, "labels")
     # a label is the root of its tree, not always the least id of the component
     least_id = label.groupBy("component").agg(F.min("id").alias("_least"))
-    hot = _hot(label, "component", label.count(), least)
-    return salted_lookup(label, least_id, "component", hot, ["id"]).select("id", F.col("_least").alias("component"))
+    return salted_lookup(label, least_id, "component", _hot(label, "component", n, least), ["id"]).select("id", F.col("_least").alias("component"))
 
 
 def component_sizes(components: DataFrame, n: int = 20) -> DataFrame:

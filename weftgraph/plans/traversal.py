@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import materialize
+from weftgraph.session import materialize, measured
 
 #: Levels of a search that are kept as tables of their own.
 MOST_TABLES = 24
@@ -47,13 +47,14 @@ def bfs(edges: DataFrame, start: int, etype: int | None = None, max_depth: int |
         seen = reduce(DataFrame.unionByName, found).select("id")
         steps = links.join(frontier.select(F.col("id").alias("src")), "src")
         fresh = steps.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti")
-        frontier = materialize(fresh.select("id", F.lit(level).alias("level"), "parent"), f"bfs{level}")
-        if frontier.isEmpty():
+        hit = F.max(F.col("id") == until) if until is not None else F.lit(False)
+        frontier, seen_now = measured(fresh.select("id", F.lit(level).alias("level"), "parent"), f"bfs{level}", n=F.count(F.lit(1)), hit=hit)
+        if not seen_now.get("n"):
             break
         found.append(frontier)
         if len(found) > MOST_TABLES:  # a deep search would else plan a union of one table a level
             found = [materialize(reduce(DataFrame.unionByName, found), "found")]
-        if until is not None and not frontier.filter(F.col("id") == until).isEmpty():
+        if seen_now["hit"]:
             break
     return reduce(DataFrame.unionByName, found)
 
@@ -92,16 +93,19 @@ def shortest_path(edges: DataFrame, source: int, target: int, etype: int | None
         # a way of the source's side starts at its vertex, one of the target's side at the target
         way = F.concat(F.array("id"), F.col("way")) if forward else F.concat(F.col("way"), F.array("id"))
         fresh = steps.select("id", way.alias("way")).groupBy("id").agg(F.min("way").alias("way"))
-        fresh = materialize(fresh.join(reduce(DataFrame.unionByName, side["seen"]), "id", "left_anti"), "ways")
-        side["rows"], side["n"] = fresh, fresh.count()
+        fresh = fresh.join(reduce(DataFrame.unionByName, side["seen"]), "id", "left_anti")
+        # where the other side has the vertex too, the two ways make a path
+        other = sides[1 if forward else 0]["rows"].withColumnRenamed("way", "other")
+        first, last = ("other", "way") if forward else ("way", "other")
+        path = F.concat(first, F.slice(last, 2, F.greatest(F.size(last) - 1, F.lit(0))))
+        met = fresh.join(other, "id", "left").withColumn("path", F.when(F.col("other").isNotNull(), path))
+        fresh, seen = measured(met, "ways", n=F.count(F.lit(1)), path=F.min("path"))
+        side["rows"], side["n"] = fresh.select("id", "way"), seen.get("n", 0)
         side["seen"].append(fresh.select("id"))
         if not side["n"]:
             return []
-        from_source, from_target = sides[0]["rows"], sides[1]["rows"].withColumnRenamed("way", "rest")
-        met = from_source.join(from_target, "id").select(F.concat("rest", F.slice("way", 2, F.greatest(F.size("way") - 1, F.lit(0)))).alias("path"))
-        path = met.agg(F.min("path")).first()[0]
-        if path is not None:
-            return list(path) if reverse else list(path)[::-1]
+        if seen["path"] is not None:
+            return list(seen["path"]) if reverse else list(seen["path"])[::-1]
     return []
 
 
@@ -121,8 +125,8 @@ def multi_bfs(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
     for level in range(1, rounds + 1):
         seen = reduce(DataFrame.unionByName, found).select("seed", "id")
         steps = links.join(frontier.select("seed", F.col("id").alias("src")), "src").select("seed", F.col("dst").alias("id")).distinct()
-        frontier = materialize(steps.join(seen, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)), f"multi{level}")
-        if frontier.isEmpty():
+        frontier, seen_now = measured(steps.join(seen, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)), f"multi{level}", n=F.count(F.lit(1)))
+        if not seen_now.get("n"):
             break
         found.append(frontier)
     return reduce(DataFrame.unionByName, found)

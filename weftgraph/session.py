@@ -14,7 +14,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
@@ -86,7 +87,25 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def measured(df: DataFrame, label: str, **aggs: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and aggregates over the rows, taken while they are written; an empty table may give none."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[a.alias(n) for n, a in aggs.items()]), label)
+    try:
+        return table, dict(seen.get)
+    except Py4JJavaError:  # the plan of an empty table has no place to observe
+        return table, {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing will read any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._scratch)
 
 
 def tasks(spark: SparkSession) -> int:
