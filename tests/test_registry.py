@@ -24,7 +24,11 @@ def shown(value):
 def test_query(spark, sql, small, name):
     df = registry.queries()[name](spark, small)
     columns = sorted(df.columns)
-    got = sorted([shown(r[c]) for c in columns] for r in df.collect())
+    rows = df.collect()
+    got = sorted([shown(r[c]) for c in columns] for r in rows)
+    # a NaN equals nothing, so rows that hold one are only comparable by other columns
+    exact = [tuple(str(v) for v in r if not isinstance(v, float)) for r in rows]
+    assert len(set(exact)) == len(exact) or not any(v != v for r in rows for v in r if isinstance(v, float))
     text = registry.oracle_sql().get(name)
     if text is None:
         assert got

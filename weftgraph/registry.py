@@ -754,6 +754,14 @@ def store_roundtrip(spark, path):
     return _plain(store.edges().select("src", "dst", "etype", "edge_id", "low"))
 
 
+@query("store_ingest", f"WITH {_E} SELECT src, dst, etype, edge_id, least(src, dst) AS low FROM E")
+def store_ingest(spark, path):
+    """Edges added to a stored graph, visible at once."""
+    store = _store(spark)
+    store.add_edges(fx.edge_table(spark, path), ["weight"])
+    return _plain(store.edges().select("src", "dst", "etype", "edge_id", "low"))
+
+
 @query("store_set_pointer", f"WITH {_E} SELECT edge_id, CASE WHEN etype = 2 THEN 0.5 ELSE weight END AS weight FROM E")
 def store_set_pointer(spark, path):
     """An edge column of a stored graph set by pointers, twice; the later value stays, also behind a compaction."""
