@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.lookup import id_frame
+from weftgraph.session import measured
 
 
 class Frontier:
@@ -79,9 +80,11 @@ class Frontier:
         return self._with(self.out_edges(etype, condition).select(target.cast("bigint").alias("id")).filter("id is not null").distinct())
 
     def traverse_out_until(self, etype: int | None, stop: Column, condition: Column | None = None, to: Column | None = None) -> tuple[Frontier, bool]:
-        """``traverse_out`` and whether an edge on the way met ``stop``; that test ends at the first such edge."""
-        stopped = not self.out_edges(etype, condition).filter(stop).isEmpty()
-        return self.traverse_out(etype, condition, to), stopped
+        """``traverse_out`` and whether an edge on the way met ``stop``; both come from one pass over the edges, whose step is stored."""
+        target = F.col("dst") if to is None else to
+        rows = self.out_edges(etype, condition).select(target.cast("bigint").alias("id"), stop.alias("_stop"))
+        step, seen = measured(rows.groupBy("id").agg(F.max("_stop").alias("_stop")), "step", stopped=F.max("_stop"))
+        return self._with(step.filter("id is not null").select("id")), bool(seen.get("stopped"))
 
     def select_out(self, etype: int | None, condition: Column | None = None) -> DataFrame:
         """(id): the dst of every edge that leaves the set, as a bag."""

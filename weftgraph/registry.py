@@ -675,21 +675,6 @@ def als_normal(spark, path):
     return out.select("id", "n", *[F.round(c, 6).alias(c) for c, _ in _SUMS])
 
 
-@query("als_step")
-def als_step(spark, path):
-    """The factors of all users after one exact least-squares step."""
-    rows = fx.ratings(spark, path)
-    return factorize.als_step(rows, _factors(rows.select(F.col("dst").alias("id")).distinct()), "src").select("id", F.array_join(F.transform("factor", lambda x: F.round(x, 4)).cast("array<string>"), ",").alias("factor"))
-
-
-@query("als_train")
-def als_train(spark, path):
-    """Error over all ratings after five alternations."""
-    rows = fx.ratings(spark, path)
-    users, items = factorize.als(rows)
-    return factorize.rmse(factorize.predict(rows, users, items)).select("n", F.round("rmse", 3).alias("rmse"))
-
-
 @query("als_solved", f"WITH {_R} SELECT src AS id, TRUE AS solved FROM R GROUP BY src")
 def als_solved(spark, path):
     """Whether each user's factor of a step solves its equations (A + 0.065 n I) w = b."""
@@ -924,234 +909,6 @@ def load_links(spark, path):
     return loaders.resolve_links(read, pages.withColumn("title", F.concat("title", F.lit("'s"))))[0].dropDuplicates(["edge_id"]).select("src", "dst")
 
 
-@query("csv_sinks", f"WITH {_P}, {_TRIPLES} SELECT c - e1 - e2 - e3 AS edges0, e1 AS edges1, e2 AS edges2, e3 AS edges3 FROM q")
-def csv_sinks(spark, path):
-    """Triple frequencies of every ego written as CSV and read back."""
-    target = scratch_path(spark, "csv")
-    sinks.write_triple_frequencies(triple_freqs(spark, path), target)
-    return spark.read.option("header", True).schema("edges0 bigint, edges1 bigint, edges2 bigint, edges3 bigint").csv(target)
-
-
-# --- vertex programs ---------------------------------------------------------
-
-_CC = """links AS (SELECT src AS a, dst AS b FROM P UNION SELECT dst, src FROM P),
-label(v, g) USING KEY (v) AS (
-  SELECT p_partkey AS v, p_partkey AS g FROM part
-  UNION SELECT e.b, min(l.g) FROM label l JOIN links e ON e.a = l.v JOIN recurring.label k ON k.v = e.b WHERE l.g < k.g GROUP BY e.b)"""
-
-
-@query("components", f"WITH RECURSIVE {_P}, {_CC} SELECT v AS id, g AS component FROM label")
-def components(spark, path):
-    """Components over all part edges."""
-    return compute.connected_components(fx.part_vertices(spark, path), fx.part_edges(spark, path))
-
-
-@query("component_sizes", f"WITH RECURSIVE {_P}, {_CC} SELECT g AS component, count(*) AS size FROM label GROUP BY g HAVING count(*) > 1 ORDER BY size DESC, component DESC LIMIT 20")
-def component_sizes(spark, path):
-    return compute.component_sizes(components(spark, path))
-
-
-@query("min_label_program", f"WITH RECURSIVE {_P}, {_CC} SELECT v AS id, g AS label FROM label")
-def min_label_program(spark, path):
-    """The same components by the vertex program, until no vertex is active."""
-    return compute.run_program(compute.ReachableMin(), fx.part_vertices(spark, path), fx.part_edges(spark, path), 1_000_000)
-
-
-@query("edge_labels", f"WITH RECURSIVE {_P}, {_CC} SELECT src, dst, etype, weight, g AS edge_label FROM P JOIN label ON v = src")
-def edge_labels(spark, path):
-    """Component labels as a program that reads and writes edge values leaves them on the edges."""
-    return compute.label_edges(fx.part_vertices(spark, path), fx.part_edges(spark, path))[1].withColumn("weight", F.col("weight").cast("double"))
-
-
-def _rank_round(k: int, last: str) -> str:
-    return f"""r{k} AS (SELECT v.p_partkey AS id, 0.15 / n.n + 0.85 * coalesce(sum(greatest(CAST(0.15 AS DOUBLE), {last}.rank) / o.d), 0) AS rank
-FROM part v CROSS JOIN n LEFT JOIN P e ON e.dst = v.p_partkey LEFT JOIN {last} ON {last}.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.p_partkey, n.n)"""
-
-
-@query("pagerank3", f"""
-WITH {_P}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM part), o AS (SELECT src, CAST(count(*) AS DOUBLE) AS d FROM P GROUP BY src),
-r0 AS (SELECT p_partkey AS id, CAST(0 AS DOUBLE) AS rank FROM part), {_rank_round(1, 'r0')}, {_rank_round(2, 'r1')}, {_rank_round(3, 'r2')}
-SELECT id, round(rank, 6) AS rank FROM r3""")
-def pagerank3(spark, path):
-    return compute.pagerank(fx.part_vertices(spark, path), fx.part_edges(spark, path), 3).select("id", F.round("rank", 6).alias("rank"))
-
-
-def _factors(ids: DataFrame) -> DataFrame:
-    """Fixed factors, so that the results can be checked: entry k of id is ((31 id + 17 k) mod 97) / 97."""
-    return ids.select("id", F.array(*[((F.col("id") * 31 + 17 * k) % 97) / F.lit(97.0) for k in range(factorize.RANK)]).alias("factor"))
-
-
-def _f(of: str, k: int) -> str:
-    return f"((({of}) * 31 + {17 * k}) % 97) / 97.0::DOUBLE"
-
-
-_SCORE = " + ".join(f"({_f('u', k)}) * ({_f('i', k)})" for k in range(10))
-
-
-@query("als_predict", f"SELECT i AS id, round({_SCORE}, 6) AS score FROM (SELECT 200011 AS u, p_partkey AS i FROM part) ORDER BY round({_SCORE}, 9) DESC, id LIMIT 20")
-def als_predict(spark, path):
-    items = fx.part_vertices(spark, path).select("id", F.col("name").alias("title"))
-    factors = _factors(items.select("id").union(spark.createDataFrame([(200_011,)], "id bigint")))
-    return graph.recommend_by_factors(factors, 200_011, items).select("id", F.round("score", 6).alias("score"))
-
-
-@query("recommend_for_user", f"WITH {_V} SELECT i AS id, title, round({_SCORE}, 6) AS score FROM (SELECT 1000033 AS u, id AS i, title FROM V WHERE vtype = 'movie') ORDER BY round({_SCORE}, 9) DESC, id LIMIT 20")
-def recommend_for_user(spark, path):
-    """The 20 movies of the greatest score, with their titles."""
-    vertices = fx.vertex_table(spark, path)
-    factors = _factors(vertices.select("id").union(spark.createDataFrame([(1_000_033,)], "id bigint")).distinct())
-    return graph.recommend_by_factors(factors, 1_000_033, vertices.filter("vtype = 'movie'")).select("id", "title", F.round("score", 6).alias("score"))
-
-
-@query("als_rmse", f"WITH {_R}, s AS (SELECT rating, {_SCORE} AS p FROM (SELECT src AS u, dst AS i, rating FROM R)) SELECT count(*) AS n, round(sqrt(avg((rating - p) * (rating - p))), 6) AS rmse FROM s")
-def als_rmse(spark, path):
-    rows = fx.ratings(spark, path)
-    users = _factors(rows.select(F.col("src").alias("id")).distinct())
-    items = _factors(rows.select(F.col("dst").alias("id")).distinct())
-    return factorize.rmse(factorize.predict(rows, users, items)).select("n", F.round("rmse", 6).alias("rmse"))
-
-
-_SUMS = [(f"a{i}_{j}", f"x{i} * x{j}") for i in range(10) for j in range(i, 10)] + [(f"b{i}", f"x{i} * rating") for i in range(10)]
-
-
-@query("als_normal", f"""
-WITH {_R}, x AS (SELECT src AS id, rating, {', '.join(f'{_f("dst", k)} AS x{k}' for k in range(10))} FROM R)
-SELECT id, count(*) AS n, {', '.join(f'round(sum({e}), 6) AS {c}' for c, e in _SUMS)} FROM x GROUP BY id""")
-def als_normal(spark, path):
-    rows = fx.ratings(spark, path)
-    out = factorize.normal_equations(rows, _factors(rows.select(F.col("dst").alias("id")).distinct()), "src")
-    return out.select("id", "n", *[F.round(c, 6).alias(c) for c, _ in _SUMS])
-
-
-@query("als_step")
-def als_step(spark, path):
-    """The factors of all users after one exact least-squares step."""
-    rows = fx.ratings(spark, path)
-    return factorize.als_step(rows, _factors(rows.select(F.col("dst").alias("id")).distinct()), "src").select("id", F.array_join(F.transform("factor", lambda x: F.round(x, 4)).cast("array<string>"), ",").alias("factor"))
-
-
-@query("als_train")
-def als_train(spark, path):
-    """Error over all ratings after five alternations."""
-    rows = fx.ratings(spark, path)
-    users, items = factorize.als(rows)
-    return factorize.rmse(factorize.predict(rows, users, items)).select("n", F.round("rmse", 3).alias("rmse"))
-
-
-# --- edits, storage and streams ----------------------------------------------
-
-
-@query("delete_edge", f"WITH {_E} SELECT src, dst, edge_id FROM E WHERE edge_id <> (SELECT max(edge_id) FROM E WHERE src = 792 AND dst = 1001)")
-def delete_edge(spark, path):
-    return mutation.delete_edge(fx.edge_table(spark, path), 792, 1001, None).select("src", "dst", "edge_id")
-
-
-@query("delete_vertex", f"WITH {_E} SELECT src, dst, edge_id FROM E WHERE src <> 792 AND dst <> 792")
-def delete_vertex(spark, path):
-    return mutation.delete_vertex(fx.edge_table(spark, path), 792).select("src", "dst", "edge_id")
-
-
-@query("update_edge", f"WITH {_E} SELECT edge_id, CASE WHEN edge_id = (SELECT max(edge_id) FROM E WHERE src = 792 AND dst = 1001) THEN 0.5 ELSE weight END AS weight FROM E")
-def update_edge(spark, path):
-    return _plain(mutation.update_edge(fx.edge_table(spark, path), 792, 1001, None, "weight", 0.5).select("edge_id", "weight"))
-
-
-@query("tombstones", f"WITH {_E} SELECT edge_id FROM E WHERE edge_id NOT IN (SELECT edge_id FROM E WHERE etype = 3)")
-def tombstones(spark, path):
-    edges = fx.edge_table(spark, path)
-    return mutation.drop_tombstones(edges, edges.filter("etype = 3")).select("edge_id")
-
-
-def _store(spark: SparkSession) -> GraphStore:
-    schema = GraphSchema().add("edge", "weight", "float").add("edge", "low", "long", default=lambda s, d, t: F.least(s, d)).add("vertex", "title", "string")
-    return GraphStore(spark, scratch_path(spark, "store"), schema).create()
-
-
-_STORED = f"""{_E}, kept AS (SELECT * FROM E WHERE src <> 687 AND dst <> 687 AND edge_id <> (SELECT max(edge_id) FROM E WHERE src = 792 AND dst = 1001 AND src <> 687 AND dst <> 687))"""
-
-
-@query("store_roundtrip", f"WITH {_STORED} SELECT src, dst, etype, edge_id, least(src, dst) AS low FROM kept")
-def store_roundtrip(spark, path):
-    """Ingest, delete a vertex and an edge, compact, and read back."""
-    store = _store(spark)
-    store.add_edges(fx.edge_table(spark, path), ["weight"])
-    store.delete_vertex(687)
-    store.delete_edge(792, 1001, None)
-    store.compact()
-    return _plain(store.edges().select("src", "dst", "etype", "edge_id", "low"))
-
-
-@query("stream_ingest", f"WITH {_E} SELECT src, dst, etype, edge_id FROM E WHERE dst BETWEEN 1 AND 2000")
-def stream_ingest(spark, path):
-    """Edges streamed into a store in micro-batches, read back by range of dst."""
-    store = _store(spark)
-    stream = ingest.edge_stream(spark, _edge_files(spark, path), _STREAMED, 2)
-    ingest.ingest(stream, store, ["weight"], scratch_path(spark, "stream-checkpoint")).awaitTermination()
-    return _plain(store.edges((1, 2_000)).select("src", "dst", "etype", "edge_id"))
-
-
-@query("stream_windows", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
-def stream_windows(spark, path):
-    """Events by hour and type, counted as a stream."""
-    source = scratch_path(spark, "events")
-    events = fx.table(spark, path, "events")
-    events.write.parquet(source)
-    stream = spark.readStream.schema(events.schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "w" + source.rsplit("-", 1)[1]
-    counted = ingest.run_to_memory(ingest.windowed_counts(stream, "ts", "10 minutes", "1 hour", "event_type"), name, "complete")
-    return _plain(counted)
-
-
-# --- sources and sinks -------------------------------------------------------
-
-
-@query("load_edge_list", f"WITH {_E} SELECT src, dst, 0 AS etype FROM E")
-def load_edge_list(spark, path):
-    """Edges written as text and read back by the edge list reader."""
-    target = scratch_path(spark, "edges")
-    fx.edge_table(spark, path).select(F.concat_ws("\t", "src", "dst")).write.text(target)
-    return _plain(loaders.read_edge_list(spark, target).select("src", "dst", "etype"))
-
-
-@query("load_ratings", f"WITH {_R} SELECT src, dst, CAST(floor(rating) AS INT) AS rating FROM R")
-def load_ratings(spark, path):
-    """Ratings written as coordinate files and read back."""
-    target = scratch_path(spark, "ratings")
-    rows = fx.ratings(spark, path).select(F.concat_ws(" ", F.col("src") - loaders.USER_OFFSET, "dst", F.floor("rating")).alias("value"))
-
-    def with_head(batches):
-        import pyarrow as pa
-
-        head = True
-        for batch in batches:
-            if head:
-                yield pa.RecordBatch.from_arrays([pa.array(["%%MatrixMarket matrix", "% made here", "9 9 9"])], schema=batch.schema)
-            head = False
-            yield batch
-
-    rows.mapInArrow(with_head, "value string").write.text(target)
-    return _plain(loaders.read_matrix_market(spark, target).select("src", "dst", "rating"))
-
-
-@query("load_titles", "SELECT id, CAST(coalesce(ns, 0) AS INT) AS year, coalesce(title, '') AS title FROM page_title")
-def load_titles(spark, path):
-    """Titles written as lines and read back."""
-    target = scratch_path(spark, "titles")
-    fx.table(spark, path, "page_title").select(F.concat_ws(",", "id", F.coalesce(F.col("ns").cast("string"), F.lit("NULL")), F.coalesce("title", F.lit("")))).write.option("encoding", "ISO-8859-1").text(target)
-    return _plain(loaders.read_titles(spark, target))
-
-
-@query("load_dump", "SELECT id, CAST(ns AS INT) AS ns, title || '''s' AS title FROM page_title WHERE title IS NOT NULL")
-def load_dump(spark, path):
-    """Pages written as insert statements and read back, with escaped quotes."""
-    target = scratch_path(spark, "dump")
-    pages = fx.table(spark, path, "page_title").filter("title is not null and ns is not null")
-    one = F.concat(F.lit("("), F.col("id"), F.lit(","), F.col("ns"), F.lit(",'"), F.replace(F.col("title"), F.lit("'"), F.lit("\\'")), F.lit("\\'s',0)"))
-    lines = pages.groupBy(F.col("id") % 20).agg(F.array_join(F.collect_list(one), ",").alias("v")).select(F.concat(F.lit("INSERT INTO `page` VALUES "), F.col("v"), F.lit(";")))
-    lines.write.text(target)
-    return loaders.read_page_dump(spark, target)
-
-
 # --- order -------------------------------------------------------------------
 
 
