@@ -102,6 +102,39 @@ def test_searches_run_to_the_end(spark, tmp_path, monkeypatch, name):
     assert sorted((r.id, r.level) for r in rows) == [(7 + k, k) for k in range(13)]
 
 
+def _searched(rows, seed, rounds=6):
+    """{vertex: level} by brute force, over the edges in both directions."""
+    near, level = {}, {seed: 0}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    edge = {seed}
+    for k in range(1, rounds + 1):
+        edge = {v for u in edge for v in near.get(u, ()) if v not in level}
+        level |= dict.fromkeys(edge, k)
+    return level
+
+
+def test_csv_levels_store_no_pairs(spark, tmp_path, monkeypatch):
+    """150 searches over 150 parts store a row of bits for a vertex in a round, not one for each search that reaches it."""
+    steps = [(k, (k + d) % 150) for k in range(150) for d in (1, 12, 40)]
+    lines = [(o, n, p, "A", 1.0) for o, way in enumerate(steps) for n, p in enumerate(way, 1)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, "x", "y", 1) for p in range(150)], "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    stored, measured = [], traversal.measured
+
+    def counted(*args, **aggs):
+        table, seen = measured(*args, **aggs)
+        stored.append(seen.get("n") or 0)
+        return table, seen
+
+    monkeypatch.setattr(traversal, "measured", counted)
+    got = {r.vertex: tuple(r[f"level{k}"] for k in range(1, 7)) for r in registry.queries()["csv_levels"](spark, str(tmp_path)).collect()}
+    want = {p: list(_searched(steps, p).values()) for p in range(150)}
+    assert got == {p: tuple(v.count(k) for k in range(1, 7)) for p, v in want.items()}
+    assert stored and max(stored) <= 150
+
+
 def test_components_and_program(spark, edges):
     vertices = spark.range(1, 9)
     expected = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}

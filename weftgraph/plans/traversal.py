@@ -9,15 +9,18 @@ number of rows per round.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.session import materialize, measured
 
 #: Levels of a search that are kept as tables of their own.
 MOST_TABLES = 24
+#: Words of 64 searches in a row.
+MOST_WORDS = 24
 
 
 def _of_type(edges: DataFrame, etype: int | None) -> DataFrame:
@@ -114,22 +117,85 @@ def path_frame(spark, path: list[int]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(path)), "step int, id bigint")
 
 
-def multi_bfs(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
-    """(seed, id, level): undirected searches from all seeds at once, up to ``rounds`` levels.
+@dataclass(frozen=True)
+class Searches:
+    """Many searches at once: ``found`` has (block, id, level, w0, w1, ...), the bits of the searches that reach ``id`` on ``level``.
+
+    ``seeds`` has (seed, number). Search ``number`` is bit ``number % 64`` of a word; a row
+    holds ``words`` of them, and blocks number the rows that a vertex has for further searches.
+    """
 
-    Keyed by (seed, vertex), so any number of searches share each round's join.
+    seeds: DataFrame
+    found: DataFrame
+    words: int
+    rounds: int
+
+    def _words(self) -> DataFrame:
+        """(level, id, first, bits): each word that is not empty, with the number of its first search."""
+        rows = self.found.filter("level > 0").select("level", "id", "block", F.posexplode(F.array(*_names(self.words))).alias("word", "bits"))
+        return rows.filter("bits <> 0").select("level", "id", ((F.col("block") * self.words + F.col("word")) * 64).alias("first"), "bits")
+
+    def levels(self) -> DataFrame:
+        """(seed, id, level)."""
+        rows = self._words().select("level", "id", "first", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+        rows = rows.filter("shiftrightunsigned(bits, bit) & 1 = 1").select((F.col("first") + F.col("bit")).alias("number"), "id", "level")
+        return self.seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("level")).unionByName(rows.join(self.seeds, "number").select("seed", "id", "level"))
+
+    def histogram(self) -> DataFrame:
+        """(vertex, level1, level2, ...): the counts of ``level_histogram``, from the bits as they are."""
+        # 16 bits at a time, so that the sums of a row are few enough to be compiled
+        rows = self._words().select("level", "first", "bits", F.explode(F.array(*[F.lit(k) for k in range(0, 64, 16)])).alias("low"))
+        rows = rows.select("level", (F.col("first") + F.col("low")).alias("first"), F.expr("shiftrightunsigned(bits, low) & 65535").alias("bits"))
+        sums = rows.groupBy("level", "first").agg(*[F.expr(f"sum(shiftright(bits, {k}) & 1)").alias(f"n{k}") for k in range(16)])
+        counts = sums.select("level", "first", F.posexplode(F.array(*[f"n{k}" for k in range(16)])).alias("bit", "n"))
+        each = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"level{k}") for k in range(1, self.rounds + 1)]
+        table = counts.groupBy((F.col("first") + F.col("bit")).alias("number")).agg(*each)
+        filled = [F.coalesce(f"level{k}", F.lit(0).cast("bigint")).alias(f"level{k}") for k in range(1, self.rounds + 1)]
+        return self.seeds.join(table, "number", "left").select(F.col("seed").alias("vertex"), *filled)
+
+
+def _names(words: int) -> list[str]:
+    return [f"w{k}" for k in range(words)]
+
+
+def searches(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> Searches:
+    """Undirected searches from all seeds at once, up to ``rounds`` levels.
+
+    A vertex has one row of bits for up to ``64 * MOST_WORDS`` searches, and a round
+    sends such rows along the edges: its cost grows with the edges, and not with the pairs
+    of a search and a vertex.
     """
-    links = materialize(symmetric(edges).distinct(), "links")
-    frontier = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("level", F.lit(0))
+    pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    links = materialize(pairs.select(F.inline(both)), "links")
+    numbers = seeds.select(F.col("id").alias("seed")).distinct().withColumn("number", F.row_number().over(Window.orderBy("seed")).cast("bigint") - 1)
+    numbers, counted = measured(numbers, "seeds", n=F.count(F.lit(1)))
+    n = counted.get("n") or 0
+    blocks = max(1, -(-n // (64 * MOST_WORDS)))
+    words = max(1, -(-n // (64 * blocks)))
+    names = _names(words)
+    place = F.col("number") % (64 * words)
+    own = [F.when(F.floor(place / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).otherwise(0).alias(w) for k, w in enumerate(names)]
+    frontier = numbers.select(F.floor(F.col("number") / (64 * words)).alias("block"), F.col("seed").alias("id"), F.lit(0).alias("level"), *own)
     found = [frontier]
+    any_bit = F.expr(f"({' | '.join(names)}) <> 0")
     for level in range(1, rounds + 1):
-        seen = reduce(DataFrame.unionByName, found).select("seed", "id")
-        steps = links.join(frontier.select("seed", F.col("id").alias("src")), "src").select("seed", F.col("dst").alias("id")).distinct()
-        frontier, seen_now = measured(steps.join(seen, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)), f"multi{level}", n=F.count(F.lit(1)))
+        seen = reduce(DataFrame.unionByName, found).groupBy("block", "id").agg(*[F.bit_or(w).alias(f"seen_{w}") for w in names])
+        steps = links.join(frontier.select("block", F.col("id").alias("src"), *names), "src")
+        reached = steps.groupBy("block", F.col("dst").alias("id")).agg(*[F.bit_or(w).alias(w) for w in names])
+        fresh = reached.join(seen, ["block", "id"], "left").select("block", "id", F.lit(level).alias("level"), *[F.expr(f"{w} & ~coalesce(seen_{w}, 0L)").alias(w) for w in names])
+        frontier, seen_now = measured(fresh.filter(any_bit), f"multi{level}", n=F.count(F.lit(1)))
         if not seen_now.get("n"):
             break
         found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+        if len(found) > MOST_TABLES:
+            found = [materialize(reduce(DataFrame.unionByName, found), "found")]
+    return Searches(numbers, reduce(DataFrame.unionByName, found), words, rounds)
+
+
+def multi_bfs(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
+    """(seed, id, level) of ``searches``: a row for each vertex that a search reaches."""
+    return searches(edges, seeds, rounds).levels()
 
 
 def level_histogram(levels: DataFrame, rounds: int = 6) -> DataFrame:

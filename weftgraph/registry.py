@@ -549,7 +549,7 @@ SELECT seed AS vertex, {', '.join(f'count(*) FILTER (level = {k}) AS level{k}' f
 def multi_bfs_hist(spark, path):
     """Levels around the 1,200 least parts over all edges."""
     seeds = fx.part_vertices(spark, path).select("id").orderBy("id").limit(1_200)
-    return traversal.level_histogram(traversal.multi_bfs(fx.part_edges(spark, path), seeds))
+    return traversal.searches(fx.part_edges(spark, path), seeds).histogram()
 
 
 @query("csv_levels", ORACLES["multi_bfs_hist"])
