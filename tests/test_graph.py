@@ -115,26 +115,51 @@ def _searched(rows, seed, rounds=6):
     return level
 
 
-def test_csv_levels_store_no_pairs(spark, tmp_path, monkeypatch):
-    """150 searches over 150 parts store a row of bits for a vertex in a round, not one for each search that reaches it."""
-    steps = [(k, (k + d) % 150) for k in range(150) for d in (1, 12, 40)]
-    lines = [(o, n, p, "A", 1.0) for o, way in enumerate(steps) for n, p in enumerate(way, 1)]
-    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(p, "x", "y", 1) for p in range(150)], "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    stored, measured = [], traversal.measured
+@pytest.fixture
+def stored(monkeypatch):
+    """The numbers of rows of the tables that searches write."""
+    rows, measured = [], traversal.measured
 
     def counted(*args, **aggs):
         table, seen = measured(*args, **aggs)
-        stored.append(seen.get("n") or 0)
+        rows.append(seen.get("n") or 0)
         return table, seen
 
     monkeypatch.setattr(traversal, "measured", counted)
+    return rows
+
+
+def test_csv_levels_store_no_pairs(spark, tmp_path, stored):
+    """150 searches over 150 parts store a row of bits for a vertex in a round, not one for each search that reaches it."""
+    steps = [(k, (k + d) % 150) for k in range(150) for d in (1, 12, 40)]
+    lines = [(o, n, p, "A", 1.0) for o, way in enumerate(steps) for n, p in enumerate(way, 1)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, "x", "y", 1) for p in range(150)], "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.vertex: tuple(r[f"level{k}"] for k in range(1, 7)) for r in registry.queries()["csv_levels"](spark, str(tmp_path)).collect()}
     want = {p: list(_searched(steps, p).values()) for p in range(150)}
     assert got == {p: tuple(v.count(k) for k in range(1, 7)) for p, v in want.items()}
     assert stored and max(stored) <= 150
 
 
+def test_many_searches(spark, monkeypatch, stored):
+    """130 searches in three blocks of one word: levels and counts as by brute force, with a vertex's rows bounded by the blocks."""
+    monkeypatch.setattr(traversal, "MOST_WORDS", 1, raising=False)
+    monkeypatch.setattr(traversal, "MOST_TABLES", 3)
+    rows = [(k, (k * k + 3) % 140) for k in range(140)] + [(k, (k + 9) % 140) for k in range(140)] + [(5, 5), (5, 14), (14, 5), (900, 901), (903, 903)]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint")
+    seeds = [*range(0, 125), 900, 902, 903, 10**15, -4]
+    frame = spark.createDataFrame([(s,) for s in [*seeds, 7, 900]], "id bigint")
+    want = {s: _searched(rows, s) for s in seeds}
+    found = traversal.multi_bfs(edges, frame)
+    assert sorted(map(tuple, found.select("seed", "id", "level").collect())) == sorted((s, v, k) for s, at in want.items() for v, k in at.items())
+    assert stored and max(stored) <= 3 * len({v for row in rows for v in row} | set(seeds))
+    counts = {(s, *(list(at.values()).count(k) for k in range(1, 7))) for s, at in want.items()}
+    assert set(map(tuple, traversal.level_histogram(found).collect())) == counts
+    table = traversal.searches(edges, frame).histogram()
+    assert table.count() == len(seeds) and set(map(tuple, table.collect())) == counts
+    assert traversal.multi_bfs(edges, frame.filter("id is null")).isEmpty()
+
+
 def test_components_and_program(spark, edges):
     vertices = spark.range(1, 9)
     expected = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8}
